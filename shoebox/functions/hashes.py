@@ -28,7 +28,7 @@ def checksum(c: Column, kind: str) -> Column:
     size, empty = {"md5": (16, EMPTY_MD5), "sha256": (32, EMPTY_SHA256)}[kind]
     bare = F.regexp_replace(F.regexp_replace(c, _SPACE, ""), rf"(?i)^{kind}[:=-]", "")
     plain = F.lower(F.regexp_replace(F.regexp_replace(bare, r"(?i)^0x", ""), "[:-]", ""))
-    base = F.rtrim(F.lit("="), F.translate(bare, "-_", "+/"))
+    base = F.rtrim(F.translate(bare, "-_", "+/"), F.lit("="))
     chars = -(-size * 8 // 6)
     padded = F.rpad(base, -(-size // 3) * 4, "=")
     hexed = F.when(plain.rlike(f"^[0-9a-f]{{{2 * size}}}$"), plain).when(

@@ -35,10 +35,10 @@ run AS (SELECT *, coalesce(sum(step) OVER (PARTITION BY place_id ORDER BY i ROWS
 ring AS (SELECT place_id, a1, a2, first_o + walked x1, first_o + walked + step x2
          FROM run JOIN (SELECT place_id, ring_lon[1] first_o FROM places) USING (place_id)),
 box AS (SELECT place_id, min(least(x1, x2)) west FROM ring GROUP BY 1),
-at AS (SELECT l.id, l.lat, b.place_id, l.lon + 360 * ceil((b.west - l.lon) / 360) x FROM loc l CROSS JOIN box b),
+spot AS (SELECT l.id, l.lat, b.place_id, l.lon + 360 * ceil((b.west - l.lon) / 360) x FROM loc l CROSS JOIN box b),
 inside AS (
-  SELECT 'inside' kind, at.place_id id_a, at.id id_b FROM at JOIN ring r
-  ON r.place_id = at.place_id AND (r.a1 > at.lat) <> (r.a2 > at.lat) AND at.x < r.x1 + (at.lat - r.a1) / (r.a2 - r.a1) * (r.x2 - r.x1)
+  SELECT 'inside' kind, spot.place_id id_a, spot.id id_b FROM spot JOIN ring r
+  ON r.place_id = spot.place_id AND (r.a1 > spot.lat) <> (r.a2 > spot.lat) AND spot.x < r.x1 + (spot.lat - r.a1) / (r.a2 - r.a1) * (r.x2 - r.x1)
   GROUP BY 2, 3 HAVING count(*) % 2 = 1)
 SELECT * FROM near UNION ALL SELECT * FROM inside
 """,
