@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from shoebox.llm.clusters import cluster_vectors, describe_clusters
 from shoebox.llm.components import consolidate
 from shoebox.llm.history import screen_batches
+from shoebox.llm.neighbours import nearest, similar_pairs
 from shoebox.llm.runs import collapse_runs
 from shoebox.llm.sql import ORACLES
 from shoebox.plans.tables import table
@@ -11,6 +15,18 @@ from shoebox.plans.tables import table
 __all__ = ["ORACLES", "QUERIES"]
 
 
+def _nameless(spark, d):
+    return table(spark, d, "faces").where("person_id is null")
+
+
+def p1_found(spark, d):
+    return cluster_vectors(_nameless(spark, d)).select("cluster_key", F.col("id").alias("face_id"))
+
+
+def p1_clusters(spark, d):
+    return describe_clusters(cluster_vectors(_nameless(spark, d), described=True)).withColumnRenamed("id", "face_id")
+
+
 def p3_found(spark, d):
     return consolidate(table(spark, d, "files"), table(spark, d, "match_pairs"), table(spark, d, "dup_members"))
 
@@ -27,4 +43,14 @@ def p6_found(spark, d):
     return screen_batches(table(spark, d, "files"), table(spark, d, "listing"))
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_runs": p4_runs, "p6_found": p6_found}
+def p7_found(spark, d):
+    pairs = similar_pairs(table(spark, d, "file_embeddings"), "file_id", "vec", 64)
+    return pairs.select(F.col("a").alias("file_id_a"), F.col("b").alias("file_id_b"))
+
+
+def p7_faces(spark, d):
+    found = nearest(table(spark, d, "faces"), "id", "vec", 128, queries="id % 20 = 0")
+    return found.select(F.col("id").alias("face_id"), F.col("other").alias("neighbour_id"), "rank_no")
+
+
+QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p7_found": p7_found, "p7_faces": p7_faces, "p3_found": p3_found, "p4_found": p4_found, "p4_runs": p4_runs, "p6_found": p6_found}

@@ -25,7 +25,21 @@ g AS (SELECT *, CASE WHEN bit_count(xor(h, lag(h) OVER (PARTITION BY file_id ORD
 r AS (SELECT *, sum(flag) OVER (PARTITION BY file_id ORDER BY t) run FROM g)
 """
 
+_COMPARABLE = "len(vec) = {dim} AND len(list_filter(vec, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vec, lambda x: x <> 0)) > 0"
+
 ORACLES = {
+    "p1_found": f"""
+WITH RECURSIVE v AS (SELECT id, vec::DOUBLE[] v FROM faces WHERE person_id IS NULL AND {_COMPARABLE.format(dim=128)}),
+e AS (SELECT a.id a, b.id b FROM v a JOIN v b ON a.id <> b.id AND list_cosine_similarity(a.v, b.v) >= 0.65),
+reach(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a)
+SELECT least(min(b), a) cluster_key, a face_id FROM reach GROUP BY a
+""",
+    "p7_found": f"""
+WITH v AS (SELECT file_id, vec::DOUBLE[] v FROM file_embeddings WHERE {_COMPARABLE.format(dim=64)}),
+s AS (SELECT a.file_id a, b.file_id b, round(list_cosine_similarity(a.v, b.v), 7) s FROM v a JOIN v b ON a.file_id <> b.file_id),
+k AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+SELECT DISTINCT least(a, b) file_id_a, greatest(a, b) file_id_b FROM k WHERE s >= 0.85
+""",
     "p3_found": f"""
 WITH RECURSIVE h AS (SELECT id, {_hash('phash')} h FROM files),
 e AS (
