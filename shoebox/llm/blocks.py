@@ -1,6 +1,6 @@
 """Vectors in overlapping blocks: every row has one home block and visits a few others.
 
-A home row meets every visitor of its block. Blocks above ``TILE_ROWS`` are cut into tiles by a hash of the id,
+A home row meets every visitor of its block. Groups above ``TILE_ROWS`` are cut into tiles by a hash of the id,
 and each pair of tiles is a task of its own, so a hot block is spread over many tasks of bounded size.
 """
 
@@ -18,6 +18,7 @@ from shoebox.scratch import materialise
 
 TILE_ROWS = 2048
 SAMPLE_ROWS = 20_000
+TILE_PAIRS = 500_000
 
 
 def comparable(vec: Column, dim: int) -> Column:
@@ -45,48 +46,65 @@ def matrix(units, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(units), np.float32).reshape(-1, dim)
 
 
-def sample_matrix(units: DataFrame, dim: int, rows: int = SAMPLE_ROWS) -> np.ndarray:
-    """At most ``rows`` vectors, chosen by a hash of the id, the same ones on every run."""
-    at = units.select("unit", F.xxhash64("id", F.lit(7)).alias("o"), "id").orderBy("o", "id").limit(rows).select("unit").toArrow()
-    return matrix(at.column("unit").to_pylist(), dim)
+def sample_rows_of(units: DataFrame, dim: int, rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of at most ``rows`` records, chosen by a hash of the id, the same ones on every run."""
+    at = units.select("id", "unit", F.xxhash64("id", F.lit(7)).alias("o")).orderBy("o", "id").limit(rows).select("id", "unit").toArrow()
+    return at.column("id").to_numpy(), matrix(at.column("unit").to_pylist(), dim)
 
 
 Router = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
-def _route(batches: Iterator[pa.RecordBatch], routers: list[Router], dim: int) -> Iterator[pa.RecordBatch]:
+def _route(batches: Iterator[pa.RecordBatch], routers: list[Router], dim: int, leaders: np.ndarray | None, threshold: float) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("home", pa.int32()), ("visits", pa.list_(pa.int32()))]))
     for batch in batches:
         x = matrix(batch.column("unit").to_pylist(), dim)
         routes = [r(x) for r in routers]
         rows = [[{"home": int(h[i]), "visits": v[i].tolist()} for h, v in routes] for i in range(len(x))]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("unit"), pa.array(rows, kind)], ["id", "unit", "routes"])
+        led = np.full(len(x), -1, np.int32)
+        if leaders is not None:
+            s = x @ leaders.T
+            led = np.where(s.max(1) >= threshold + 1e-5, s.argmax(1), -1).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("unit"), pa.array(led), pa.array(rows, kind)], ["id", "unit", "leader", "routes"])
 
 
-def routed(units: DataFrame, routers: list[Router], dim: int) -> DataFrame:
-    """(id, unit, routes): home and visited blocks of each router; visits hold the home too."""
-    return units.mapInArrow(lambda b: _route(b, routers, dim), "id long, unit binary, routes array<struct<home:int,visits:array<int>>>")
+def routed(units: DataFrame, routers: list[Router], dim: int, leaders: np.ndarray | None = None, threshold: float = 2.0) -> DataFrame:
+    """(id, unit, leader, routes): home and visited blocks of each router; visits hold the home too.
+
+    ``leader`` is the most similar of the ``leaders`` where that reaches ``threshold``, else -1.
+    """
+    return units.mapInArrow(lambda b: _route(b, routers, dim, leaders, threshold), "id long, unit binary, leader int, routes array<struct<home:int,visits:array<int>>>")
 
 
 def meet(assigned: DataFrame, compare: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, tile_rows: int = TILE_ROWS) -> DataFrame:
     """``compare(home rows, visiting rows)`` for each tile pair of each block of each router.
 
-    ``assigned`` as from :func:`routed`, stored, since it is read three times.
+    ``assigned`` as from :func:`routed`, stored, since it is read several times. Rows of one leader that fill more than a
+    tile have tiles of their own in each block, and two tiles of one leader do not meet: the caller has already
+    joined such rows through their leader.
     """
-    flat = assigned.select("id", "unit", F.posexplode("routes").alias("router", "r"))
-    homes = flat.select("id", "unit", "router", F.col("r.home").alias("block"))
-    visitors = flat.select("id", "unit", "router", F.explode("r.visits").alias("block"))
-    tiles = lambda d, n: d.groupBy("router", "block").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias(n))
-    # One row for each block; a model has at most a few hundred blocks.
-    sizes = F.broadcast(materialise(tiles(homes, "nh").join(tiles(visitors, "nv"), ["router", "block"]), "tiles"))
-    pick = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    key = ["router", "block", "i", "j"]
-    h = homes.join(sizes, ["router", "block"]).withColumn("i", pick("nh", 1)).withColumn("j", spread("nv")).select(*key, "id", "unit", F.lit(True).alias("at_home"))
-    v = visitors.join(sizes, ["router", "block"]).withColumn("j", pick("nv", 2)).withColumn("i", spread("nh")).select(*key, "id", "unit", F.lit(False).alias("at_home"))
+    hot = assigned.where("leader >= 0").groupBy("leader").agg(F.count("*").alias("n")).where(F.col("n") > tile_rows)
+    # As many rows as there are leaders at most, which is the number of components of a model.
+    hot = F.broadcast(hot.select("leader", F.col("leader").alias("grp")))
+    flat = assigned.join(hot, "leader", "left").select("id", "unit", F.coalesce("grp", F.lit(-1)).alias("grp"), F.posexplode("routes").alias("router", "r"))
+    block = ["router", "block"]
+    homes = flat.select("id", "unit", "grp", "router", F.col("r.home").alias("block"))
+    visitors = flat.select("id", "unit", "grp", "router", F.explode("r.visits").alias("block"))
+    tiles = lambda d: materialise(d.groupBy(*block, "grp").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("n")), "tiles")
+    nh, nv = tiles(homes), tiles(visitors)
+    each = lambda d, g, t: d.select(*block, F.col("grp").alias(g), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias(t))
+    pairs = each(nh, "gh", "i").join(each(nv, "gv", "j"), block).where("gh <> gv or gh < 0")
+    pairs = materialise(pairs.select(*block, "gh", "i", "gv", "j", F.xxhash64(*block, "gh", "i", "gv", "j").alias("task")), "pairs")
+    small = pairs.count() <= TILE_PAIRS
+    near = lambda d: F.broadcast(d) if small else d
+
+    def side(rows: DataFrame, n: DataFrame, g: str, t: str, at_home: bool) -> DataFrame:
+        tile = F.pmod(F.xxhash64("id", F.lit(t)), F.col("n")).cast("int").alias(t)
+        rows = rows.join(near(n), [*block, "grp"]).select(*block, F.col("grp").alias(g), tile, "id", "unit")
+        return rows.join(near(pairs), [*block, g, t]).select("task", "id", "unit", F.lit(at_home).alias("at_home"))
 
     def task(rows: pd.DataFrame) -> pd.DataFrame:
         home = rows["at_home"].to_numpy()
         return compare(rows[home], rows[~home])
 
-    return h.unionByName(v).groupBy(*key).applyInPandas(task, schema)
+    return side(homes, nh, "gh", "i", True).unionByName(side(visitors, nv, "gv", "j", False)).groupBy("task").applyInPandas(task, schema)

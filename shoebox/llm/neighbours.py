@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoebox.llm.blocks import SAMPLE_ROWS, matrix, meet, routed, sample_matrix, unit_vectors
+from shoebox.llm.blocks import SAMPLE_ROWS, matrix, meet, routed, sample_rows_of, unit_vectors
 from shoebox.scratch import materialise
 
 
@@ -152,7 +152,7 @@ def nearest(
     few = salt.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)
     reps = few.groupBy("unit").agg(F.slice(F.array_sort(F.collect_list("id")), 1, k + 1).alias("ids"))
     reps = materialise(reps.select(F.col("ids")[0].alias("id"), "unit", "ids"), "reps")
-    sample = sample_matrix(reps, dim, sample_rows)
+    _, sample = sample_rows_of(reps, dim, sample_rows)
     if len(sample) == 0:
         return spark.createDataFrame([], "id bigint, other bigint, similarity double, rank_no bigint")
     models = learn_partitions(sample, reps.count(), tables)
