@@ -26,7 +26,7 @@ def collapse_runs(frames: DataFrame, max_distance: int = 4, min_frames: int = 2,
     """
     f = frames.select("file_id", "id", F.col("t").cast("double").alias("t"), phash64(F.col("phash")).alias("h"))
     f = f.where("file_id is not null and id is not null and t is not null and not isnan(t) and h is not null").withColumn("t", F.col("t") + F.lit(0.0))
-    kept = materialise(f.groupBy("file_id", "t").agg(F.min(F.struct("id", "h")).alias("m")).select("file_id", "t", "m.id", "m.h"), "frames")
+    kept = materialise(f.groupBy("file_id", "t").agg(F.min_by("h", "id").alias("h"), F.min("id").alias("id")), "frames")
     sizes = kept.groupBy("file_id").agg(F.count("*").alias("n"))
     hot = materialise(sizes.where(F.col("n") > slice_rows), "hot")
     n_hot = hot.count()
@@ -45,9 +45,9 @@ def collapse_runs(frames: DataFrame, max_distance: int = 4, min_frames: int = 2,
     w = Window.partitionBy("file_id", "slice").orderBy("t")
     flag = F.coalesce((hamming(F.col("h"), F.lag("h").over(w)) > max_distance).cast("int"), F.lit(0))
     runs = kept.withColumn("flag", flag).withColumn("run", F.sum("flag").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = runs.groupBy("file_id", "slice", "run").agg(
-        F.min(F.struct("t", "id", "h")).alias("first"), F.max(F.struct("t", "id", "h")).alias("last"), F.count("*").alias("n")
-    )
+    ends = [("min", "first"), ("max", "last")]
+    parts = [getattr(F, f"{m}_by")(c, "t").alias(f"{c}_{e}") for m, e in ends for c in ("id", "h")] + [getattr(F, m)("t").alias(f"t_{e}") for m, e in ends]
+    runs = runs.groupBy("file_id", "slice", "run").agg(*parts, F.count("*").alias("n"))
     if n_hot:
         # Only the outer runs of a slice can go on across a cut: number those again, over a few rows a slice.
         s = Window.partitionBy("file_id", "slice")
@@ -55,11 +55,14 @@ def collapse_runs(frames: DataFrame, max_distance: int = 4, min_frames: int = 2,
         runs = materialise(runs, "runs")
         o = Window.partitionBy("file_id").orderBy("slice", "run")
         edge = runs.where("outer")
-        new = F.coalesce(((F.lag("slice").over(o) == F.col("slice")) | (hamming(F.col("first.h"), F.lag("last.h").over(o)) > max_distance)).cast("int"), F.lit(0))
+        new = F.coalesce(((F.lag("slice").over(o) == F.col("slice")) | (hamming(F.col("h_first"), F.lag("h_last").over(o)) > max_distance)).cast("int"), F.lit(0))
         edge = edge.withColumn("new", new).withColumn("joined", F.sum("new").over(o.rowsBetween(Window.unboundedPreceding, 0)))
-        edge = edge.groupBy("file_id", "joined").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n")).drop("joined")
-        runs = runs.where("not outer").select("file_id", "first", "last", "n").unionByName(edge)
+        edge = edge.groupBy("file_id", "joined").agg(
+            F.min_by("id_first", "t_first").alias("id_first"), F.max_by("id_last", "t_last").alias("id_last"), F.min("t_first").alias("t_first"), F.max("t_last").alias("t_last"), F.sum("n").alias("n")
+        )
+        kept_columns = ["file_id", "id_first", "id_last", "t_first", "t_last", "n"]
+        runs = runs.where("not outer").select(*kept_columns).unionByName(edge.select(*kept_columns))
     return runs.where(F.col("n") >= min_frames).select(
-        "file_id", F.col("first.id").alias("first_frame_id"), F.col("last.id").alias("last_frame_id"), F.col("n").alias("n_frames"),
-        F.col("first.t").alias("t_first"), F.col("last.t").alias("t_last"), (F.col("last.t") - F.col("first.t")).alias("duration"),
+        "file_id", F.col("id_first").alias("first_frame_id"), F.col("id_last").alias("last_frame_id"), F.col("n").alias("n_frames"),
+        "t_first", "t_last", (F.col("t_last") - F.col("t_first")).alias("duration"),
     )
