@@ -105,7 +105,8 @@ class HashForest:
         xor = F.col("h_a").bitwiseXOR(F.col("h_b"))
         index = self.trees().select(F.col("h").alias("h_a"), F.col("k").alias("k2"))
         once = first_meeting(F.col("k"), xor, self.max_distance) if radius else F.lit(True)
-        met = probes.join(index, (F.col("k") == F.col("k2")) & (F.bit_count(xor) <= self.max_distance) & once)
+        # The planner takes the exploded probes for as small as their source; a merge join never broadcasts them.
+        met = probes.hint("merge").join(index, (F.col("k") == F.col("k2")) & (F.bit_count(xor) <= self.max_distance) & once)
         return met.select("h_a", "h_b").distinct()
 
     def repeats(self, batch: DataFrame, recall: float = 1.0) -> DataFrame:
