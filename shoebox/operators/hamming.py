@@ -66,4 +66,5 @@ def hamming_join(probe: DataFrame, index: DataFrame, max_distance: int = 7, *, s
     cond = (F.col("k") == F.col("k2")) & (F.bit_count(xor) <= max_distance) & first_meeting(F.col("k"), xor, max_distance)
     if same:
         cond = cond & (F.col("h_a") < F.col("h_b"))
-    return p.join(i, cond).select("h_a", "h_b", F.bit_count(xor).alias("distance"))
+    # The planner takes the exploded probes for as small as their source; a merge join never broadcasts them.
+    return p.hint("merge").join(i, cond).select("h_a", "h_b", F.bit_count(xor).alias("distance"))

@@ -42,7 +42,7 @@ def near_pairs(points: DataFrame, radius_m: float = 100.0) -> DataFrame:
     metres = great_circle_m(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
     # Within one cube each unordered pair once; a place also meets itself there, for the ids that share it.
     once = ~F.col("own") | (F.struct("lat_a", "lon_a") <= F.struct("lat_b", "lon_b"))
-    met = a.join(b, "k").where(once).withColumn("metres", metres).where(F.col("metres") <= radius_m)
+    met = a.hint("merge").join(b, "k").where(once).withColumn("metres", metres).where(F.col("metres") <= radius_m)
     side = lambda s: points.select(F.col("id").alias(f"i_{s}"), F.col("lat").alias(f"lat_{s}"), F.col("lon").alias(f"lon_{s}"))
     pairs = met.join(side("a"), ["lat_a", "lon_a"]).join(side("b"), ["lat_b", "lon_b"])
     same_place = (F.col("lat_a") == F.col("lat_b")) & (F.col("lon_a") == F.col("lon_b"))
