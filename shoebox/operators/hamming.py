@@ -41,7 +41,7 @@ def probe_keys(value: Column, max_distance: int, radius: int | None = None) -> C
     for i, (o, w) in enumerate(chunks):
         flips = [0] * (radius in (None, 0)) + [1 << b for b in range(w)] * (radius in (None, 1))
         base = _chunk(value, o, w)
-        keys += [_key(i, base.bitwiseXOR(F.lit(f).cast("bigint")) if f else base, len(chunks)) for f in flips]
+        keys += [_key(i, base.bitwiseXOR(F.lit(f - ((f >> 63) << 64)).cast("bigint")) if f else base, len(chunks)) for f in flips]
     return F.array(*keys)
 
 
