@@ -21,12 +21,13 @@ CLOSES = 0.3
 #: almost never began anew.
 GOES_PAST = (10, 0.02)
 
-# A file name, the stem of one, a word, a number, dots, a line end, any other sign.
+# A file name, the stem of one, a word, a number, dots, a line end, any other sign. Letters and digits are taken possessively.
 _TOKEN = (
-    r"[\p{L}\d_-]*\d[\p{L}\d_-]*\.[A-Za-z][A-Za-z0-9]{2,3}(?![\p{L}\d])"
-    r"|\p{L}+[_-]?\d{3,}[\d_]*|\p{L}+(?:[\x27’]\p{L}+)*|\d+|\.{2,}|…|\n|\S"
+    r"\p{L}*+[_-]?\d[\p{L}\d_-]*+\.[A-Za-z][A-Za-z0-9]{2,3}(?![\p{L}\d])"
+    r"|\p{L}++[_-]?\d{3,}[\d_]*|\p{L}++(?:[\x27’]\p{L}++)*|\d++|\.{2,}|…|\n|\S"
 )
-_QUIET = r"^[()\[\]{}\x22“”„«»*_]$"
+# Signs that stand around words without ending anything.
+_QUIET = '()[]{}"“”„«»*'
 
 # Texts without their end mark and final white space, with what their punctuation says.
 _BODIES = r"""
@@ -41,40 +42,41 @@ FROM (SELECT *, right(body, 300) tail FROM (
   FROM docs))
 """
 
+# In runs, numbers, file names, stems and capitalised words stand for their kind.
+_CLASS = """CASE
+  WHEN x >= '0' AND x < ':' THEN CASE WHEN contains(x, '.') THEN 'FILE' ELSE '0' END
+  WHEN x <> translate(x, '0123456789', '') THEN CASE WHEN contains(x, '.') THEN 'FILE' ELSE 'STEM' END
+  WHEN left(x, 1) <> lower(left(x, 1)) AND length(x) > 1 THEN 'Name' ELSE lower(x) END"""
+# What a token does to the one before it: 1 a full stop, 2 another end sign, 3 dots or a line end, 4 begins a sentence, 0 goes on.
+_KIND = r"""CASE
+  WHEN x = '.' THEN 1 WHEN x IN ('!', '?') THEN 2 WHEN x IN ('…', '\n') OR left(x, 2) = '..' THEN 3
+  WHEN x >= '0' AND x < ':' THEN IF(contains(x, '.'), 4, 0)
+  WHEN left(x, 1) <> lower(left(x, 1)) OR upper(x) = lower(x) OR contains(x, '.') THEN 4 ELSE 0 END"""
+
 _TOKENS = f"""
 SELECT doc_id, source, chars, marked, closed, open, last_line, right(body, 1) last_char, xxhash64(body) content,
-       filter(regexp_extract_all(body, r'{_TOKEN}', 0), x -> NOT rlike(x, r'{_QUIET}')) raw
+       regexp_extract_all(translate(body, '{_QUIET}', repeat(' ', {len(_QUIET)})), r'{_TOKEN}', 0) raw
 FROM bodies
 """
 
-# In runs, numbers, file names, stems and capitalised words stand for their kind.
-_PADDED = r"""
-SELECT doc_id, marked, size(raw) n,
-       concat(array('^', '^', '^', '^'), transform(raw, x -> CASE
-         WHEN rlike(x, r'^\d+$') THEN '0'
-         WHEN rlike(x, r'\d') THEN CASE WHEN contains(x, '.') THEN 'FILE' ELSE 'STEM' END
-         WHEN rlike(x, r'^\p{Lu}') AND length(x) > 1 THEN 'Name'
-         ELSE lower(x) END), array('$', '$')) c,
-       concat(array('^', '^', '^', '^'), raw, array('$', '$')) r
-FROM tokens WHERE size(raw) > 0
-"""
-
-_POSITIONS = r"""
-SELECT doc_id, i, word,
-       array(xxhash64(5, w5, w4, w3, w2, w1), xxhash64(3, w3, w2, w1), xxhash64(2, w2, w1), xxhash64(1, lower(word))) keys,
-       CASE WHEN n1 = '$' THEN CASE WHEN marked THEN 'marked' ELSE 'bare' END
-            WHEN rlike(n1, r'^(\.{2,}|…|\n)$') THEN 'stop'
-            WHEN n1 IN ('.', '!', '?') AND (n2 IN ('$', '\n', 'Name', 'FILE') OR NOT rlike(n2, r'^[\p{L}\d]') OR rlike(r2, r'^\p{Lu}')) THEN 'stop'
-            WHEN n1 IN ('.', '!', '?') THEN 'past' ELSE 'on' END follows
-FROM (SELECT doc_id, marked, i, g.`0` w5, g.`1` w4, g.`2` w3, g.`3` w2, g.`4` w1, g.`5` n1, g.`6` n2, g.`7` r2, g.`8` word
-      FROM (SELECT doc_id, marked, posexplode(arrays_zip(slice(c, 1, n), slice(c, 2, n), slice(c, 3, n), slice(c, 4, n), slice(c, 5, n),
-                                                         slice(c, 6, n), slice(c, 7, n), slice(r, 7, n), slice(r, 5, n))) AS (i, g) FROM padded))
-WHERE NOT rlike(w1, r'^(\.+|…|!|\?|\n)$')
+# The last word of each text and the runs that end in it.
+_FINALS = f"""
+SELECT doc_id, source, chars, marked, closed, open, last_line, last_char, content, raw, element_at(raw, -1) last_sign,
+       CASE WHEN at > 0 THEN element_at(ending, at) END word,
+       CASE WHEN at > 0 THEN transform(array(5, 3, 2), k -> xxhash64(k, transform(slice(ending_classes, at + 5 - k, k), x -> xxhash64(x)))) END runs
+FROM (SELECT *, array_max(transform(ending, (x, i) -> IF({_KIND} IN (1, 2, 3), 0, i + 1))) at, concat(array('^', '^', '^', '^'), transform(ending, x -> {_CLASS})) ending_classes
+      FROM (SELECT *, slice(raw, greatest(1, size(raw) - 63), 64) ending FROM split))
 """
 
-# The last word of each text with the runs that end in it.
-_FINALS = r"""
-SELECT doc_id, max_by(word, i) word, max_by(keys, i) keys FROM positions GROUP BY doc_id
+_POSITIONS = f"""
+SELECT array(xxhash64(5, array(h5, h4, h3, h2, h1)), xxhash64(3, array(h3, h2, h1)), xxhash64(2, array(h2, h1)), word) keys,
+       CASE WHEN n1 = 9 THEN IF(marked, 'marked', 'bare') WHEN n1 = 3 THEN 'stop' WHEN n1 IN (1, 2) THEN IF(n2 <> 0, 'stop', 'past') ELSE 'on' END follows
+FROM (SELECT marked, g.`0` h5, g.`1` h4, g.`2` h3, g.`3` h2, g.`4` h1, g.`5` own, g.`6` n1, g.`7` n2, g.words word
+      FROM (SELECT marked, explode(arrays_zip(slice(h, 1, n), slice(h, 2, n), slice(h, 3, n), slice(h, 4, n), slice(h, 5, n), slice(k, 1, n), slice(k, 2, n), slice(k, 3, n), words)) g
+            FROM (SELECT marked, size(raw) n, concat(array_repeat(xxhash64('^'), 4), transform(raw, x -> xxhash64({_CLASS}))) h,
+                         concat(transform(raw, x -> {_KIND}), array(9, 9)) k, transform(raw, x -> xxhash64(1, lower(x))) words
+                  FROM tokens WHERE size(raw) > 0)))
+WHERE own NOT IN (1, 2, 3)
 """
 
 _COUNTS = """
@@ -113,8 +115,9 @@ SELECT doc_id, source, CASE
                 CASE WHEN k3.goes_on + k3.stops >= 3 THEN k3.stops / (k3.goes_on + k3.stops) END,
                 CASE WHEN k2.goes_on + k2.stops >= 1 THEN k2.stops / (k2.goes_on + k2.stops) END, 0) < {closes}
   END cut
-FROM (SELECT t.*, element_at(raw, -1) last_sign, f.word, rlike(f.word, r'^\p{L}') AND NOT rlike(f.word, r'\d') is_word, rlike(f.word, r'\d') AND rlike(f.word, r'^\p{L}') AND NOT contains(f.word, '.') stem, f.keys, l.n line_n, m.top IS NOT NULL at_limit
-      FROM tokens t LEFT JOIN finals f USING (doc_id) LEFT JOIN lines l USING (last_line) LEFT JOIN limits m ON t.source = m.source AND t.chars = m.top)
+FROM (SELECT t.*, rlike(word, r'^\p{L}') AND NOT rlike(word, r'\d') is_word, rlike(word, r'\d') AND rlike(word, r'^\p{L}') AND NOT contains(word, '.') stem,
+             l.n line_n, m.top IS NOT NULL at_limit
+      FROM (SELECT * EXCEPT (raw) FROM tokens) t LEFT JOIN lines l USING (last_line) LEFT JOIN limits m ON t.source = m.source AND t.chars = m.top)
 LEFT JOIN counts k5 ON k5.key = keys[0] LEFT JOIN counts k3 ON k3.key = keys[1] LEFT JOIN counts k2 ON k2.key = keys[2] LEFT JOIN counts k1 ON k1.key = keys[3]
 """
 
@@ -141,12 +144,11 @@ def judge_truncation(documents: DataFrame) -> DataFrame:
 
     docs.createOrReplaceTempView("docs")
     step("bodies", _BODIES)
-    total = step("tokens", _TOKENS, store=True).count()
-    step("padded", _PADDED)
+    step("split", _TOKENS)
+    total = step("tokens", f"SELECT *, concat(runs, array(xxhash64(1, lower(word)))) keys FROM ({_FINALS})", store=True).count()
     step("positions", _POSITIONS)
     habit = HABIT * total
-    finals = step("finals", _FINALS, store=True)
-    wanted = materialise(finals.select(F.explode("keys").alias("key")).distinct(), "wanted")
+    wanted = materialise(spark.table("tokens").select(F.explode("keys").alias("key")).distinct(), "wanted")
     (F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted).createOrReplaceTempView("wanted")
     step("counts", _COUNTS, store=True)
     step("lines", _LINES, store=True, habit=habit)
