@@ -61,8 +61,8 @@ FROM bodies
 
 # The last word of each text and the runs that end in it.
 _FINALS = f"""
-SELECT doc_id, source, chars, marked, closed, open, last_line, last_char, content, raw, element_at(raw, -1) last_sign,
-       CASE WHEN at > 0 THEN element_at(ending, at) END word,
+SELECT doc_id, source, chars, marked, closed, open, last_line, last_char, content, raw, try_element_at(raw, -1) last_sign,
+       CASE WHEN at > 0 THEN try_element_at(ending, at) END word,
        CASE WHEN at > 0 THEN transform(array(5, 3, 2), k -> xxhash64(k, transform(slice(ending_classes, at + 5 - k, k), x -> xxhash64(x)))) END runs
 FROM (SELECT *, array_max(transform(ending, (x, i) -> IF({_KIND} IN (1, 2, 3), 0, i + 1))) at, concat(array('^', '^', '^', '^'), transform(ending, x -> {_CLASS})) ending_classes
       FROM (SELECT *, slice(raw, greatest(1, size(raw) - 63), 64) ending FROM split))
