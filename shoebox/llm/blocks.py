@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from shoebox.scratch import materialise
 
-TILE_ROWS = 2048
+TILE_ROWS = 16_384
+STRIPE_ROWS = 2048
+HOT_ROWS = 500
 SAMPLE_ROWS = 20_000
 TILE_PAIRS = 500_000
 
@@ -79,11 +81,11 @@ def routed(units: DataFrame, routers: list[Router], dim: int, leaders: np.ndarra
 def meet(assigned: DataFrame, compare: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, tile_rows: int = TILE_ROWS) -> DataFrame:
     """``compare(home rows, visiting rows)`` for each tile pair of each block of each router.
 
-    ``assigned`` as from :func:`routed`, stored, since it is read several times. Rows of one leader that fill more than a
-    tile have tiles of their own in each block, and two tiles of one leader do not meet: the caller has already
+    ``assigned`` as from :func:`routed`, stored, since it is read several times. Rows of one leader that are more than
+    ``HOT_ROWS`` have tiles of their own in each block, and two tiles of one leader do not meet: the caller has already
     joined such rows through their leader.
     """
-    hot = assigned.where("leader >= 0").groupBy("leader").agg(F.count("*").alias("n")).where(F.col("n") > tile_rows)
+    hot = assigned.where("leader >= 0").groupBy("leader").agg(F.count("*").alias("n")).where(F.col("n") > min(tile_rows, HOT_ROWS))
     # As many rows as there are leaders at most, which is the number of components of a model.
     hot = F.broadcast(hot.select("leader", F.col("leader").alias("grp")))
     flat = assigned.join(hot, "leader", "left").select("id", "unit", F.coalesce("grp", F.lit(-1)).alias("grp"), F.posexplode("routes").alias("router", "r"))

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoebox.llm.blocks import SAMPLE_ROWS, matrix, meet, routed, sample_rows_of, unit_vectors
+from shoebox.llm.blocks import SAMPLE_ROWS, STRIPE_ROWS, matrix, meet, routed, sample_rows_of, unit_vectors
 from shoebox.scratch import materialise
 
 
@@ -119,16 +119,19 @@ def _top_tile(home: pd.DataFrame, visiting: pd.DataFrame, k: int, least: float,
     home = home.sort_values("id")
     h, v = matrix(home["unit"], dim), matrix(visiting["unit"], dim)
     hid, vid = home["id"].to_numpy(np.int64), visiting["id"].to_numpy(np.int64)
-    s = v @ h.T
-    s[vid[:, None] == hid[None, :]] = -2
     take = min(k + 4, len(hid))
-    top = np.argpartition(-s, take - 1, axis=1)[:, :take]
-    i = np.repeat(np.arange(len(vid)), take)
-    j = top.ravel()
-    keep = s[i, j] >= max(least, -1.5) - 1e-5
-    i, j = i[keep], j[keep]
-    exact = np.einsum("ij,ij->i", v[i].astype(np.float64), h[j].astype(np.float64)).round(7)
-    out = pd.DataFrame({"id": vid[i], "other": hid[j], "similarity": exact})
+    parts = []
+    for at in range(0, len(v), STRIPE_ROWS // 4):
+        mine, own = v[at : at + STRIPE_ROWS // 4], vid[at : at + STRIPE_ROWS // 4]
+        s = mine @ h.T
+        s[own[:, None] == hid[None, :]] = -2
+        i = np.repeat(np.arange(len(mine)), take)
+        j = np.argpartition(-s, take - 1, axis=1)[:, :take].ravel()
+        keep = s[i, j] >= max(least, -1.5) - 1e-5
+        i, j = i[keep], j[keep]
+        exact = np.einsum("ij,ij->i", mine[i].astype(np.float64), h[j].astype(np.float64)).round(7)
+        parts.append(pd.DataFrame({"id": own[i], "other": hid[j], "similarity": exact}))
+    out = pd.concat(parts)
     out = out[out["similarity"] >= least].sort_values(["id", "similarity", "other"], ascending=[True, False, True])
     return out.groupby("id", sort=False).head(k)
 
