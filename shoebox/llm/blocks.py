@@ -48,9 +48,9 @@ def matrix(units, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(units), np.float32).reshape(-1, dim)
 
 
-def sample_rows_of(units: DataFrame, dim: int, rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray]:
+def sample_rows_of(units: DataFrame, dim: int, rows: int = SAMPLE_ROWS, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """Ids and vectors of at most ``rows`` records, chosen by a hash of the id, the same ones on every run."""
-    at = units.select("id", "unit", F.xxhash64("id", F.lit(7)).alias("o")).orderBy("o", "id").limit(rows).select("id", "unit").toArrow()
+    at = units.select("id", "unit", F.xxhash64("id", F.lit(seed)).alias("o")).orderBy("o", "id").limit(rows).select("id", "unit").toArrow()
     return at.column("id").to_numpy(), matrix(at.column("unit").to_pylist(), dim)
 
 

@@ -2,19 +2,26 @@
 
 Learned partitions: the exact neighbour graph of a bounded sample is cut into balanced parts, a small
 classifier learns the part from the vector, every vector is indexed in its most probable part, and a query is
-reranked exactly in its several most probable parts.
+reranked exactly in its several most probable parts. How many are visited follows from a recall target: some queries are
+answered by brute force, and the ranks at which the parts of their true neighbours come tell how far to go.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoebox.llm.blocks import SAMPLE_ROWS, STRIPE_ROWS, matrix, meet, routed, sample_rows_of, unit_vectors
 from shoebox.scratch import materialise
 
+#: Queries answered by brute force to find how many parts have to be visited.
+TRIALS = 512
+
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
     """Exact k nearest rows of each row by cosine, itself left out, in blocks."""
@@ -100,7 +107,7 @@ class PartClassifier:
         def router(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             z = self.scores(x)
             m = min(visits, z.shape[1])
-            return z.argmax(1), np.argpartition(-z, m - 1, axis=1)[:, :m]
+            return z.argmax(1), np.argpartition(-z, max(m - 1, 0), axis=1)[:, :m]
 
         return router
 
@@ -112,6 +119,45 @@ def learn_partitions(sample: np.ndarray, rows: int, tables: int, rows_per_part:
     return [PartClassifier(sample, balanced_parts(graph, parts, seed), parts, seed) for seed in range(tables)]
 
 
+def _trial_tops(batches: Iterator[pa.RecordBatch], ids: np.ndarray, q: np.ndarray, models: list[PartClassifier], k: int, least: float, dim: int) -> Iterator[pa.RecordBatch]:
+    """The trial queries' most similar rows of each batch, with the rank of their home part for the query in each model."""
+    ranks = [np.argsort(np.argsort(-m.scores(q), axis=1), axis=1) for m in models]
+    for batch in batches:
+        x = matrix(batch.column("unit").to_pylist(), dim)
+        s = q @ x.T
+        s[ids[:, None] == batch.column("id").to_numpy()[None, :]] = -2
+        take = min(k, len(x))
+        i, j = np.repeat(np.arange(len(q)), take), np.argpartition(-s, take - 1, axis=1)[:, :take].ravel()
+        keep = s[i, j] >= max(least, -1.5)
+        i, j = i[keep], j[keep]
+        at = np.stack([r[i, m.scores(x).argmax(1)[j]] for r, m in zip(ranks, models)], axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(s[i, j].astype(np.float64)), pa.array(at.tolist(), pa.list_(pa.int32()))], ["query", "similarity", "ranks"])
+
+
+def visits_for(reps: DataFrame, asks: DataFrame, models: list[PartClassifier], k: int, least: float, dim: int, recall: float, visits: int) -> tuple[int, int]:
+    """(tables, visits): the cheapest at which ``recall`` of the trial queries' true neighbours are met.
+
+    ``visits`` in all tables is the least; fewer tables are taken only where that least is not enough.
+    """
+    parts = models[0].scores(np.zeros((1, dim), np.float32)).shape[1]
+    if visits >= parts:
+        return 1, parts
+    ids, q = sample_rows_of(asks, dim, TRIALS, seed=11)
+    if len(ids) == 0:
+        return len(models), visits
+    tops = reps.select("id", "unit").mapInArrow(lambda b: _trial_tops(b, ids, q, models, k, least, dim), "query int, similarity double, ranks array<int>")
+    w = Window.partitionBy("query").orderBy(F.desc("similarity"))
+    true = tops.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("ranks").toArrow().column("ranks").to_pylist()
+    if not true:
+        return len(models), visits
+    best = np.minimum.accumulate(np.array(true), axis=1)
+    need = [int(np.sort(best[:, t])[int(np.ceil(recall * len(best))) - 1]) + 1 for t in range(len(models))]
+    if need[-1] <= visits:
+        return len(models), visits
+    rows, asking = reps.count(), asks.count()
+    return min(((t + 1) * (rows + asking * v), t + 1, v) for t, v in enumerate(need))[1:]
+
+
 def _top_tile(home: pd.DataFrame, visiting: pd.DataFrame, k: int, least: float, dim: int) -> pd.DataFrame:
     empty = pd.DataFrame({"id": np.empty(0, np.int64), "other": np.empty(0, np.int64), "similarity": np.empty(0)})
     if home.empty or visiting.empty:
@@ -137,14 +183,15 @@ def _top_tile(home: pd.DataFrame, visiting: pd.DataFrame, k: int, least: float,
 
 
 def nearest(
-    rows: DataFrame, id_: str, vec: str, dim: int, k: int = 5, least: float = -1.0, queries=None, visits: int = 4, tables: int = 2, sample_rows: int = SAMPLE_ROWS
+    rows: DataFrame, id_: str, vec: str, dim: int, k: int = 5, least: float = -1.0, queries=None, visits: int = 4, tables: int = 2, sample_rows: int = SAMPLE_ROWS, recall: float = 0.95
 ) -> DataFrame:
     """(id, other, similarity, rank_no): the ``k`` most similar other comparable vectors of each query.
 
     ``queries`` is a condition on ``id`` (by default every row asks); only neighbours of cosine >= ``least`` are
     listed. Ties go to the smaller id. The partition is learned on at most ``sample_rows`` vectors; every row is
     indexed. Equal vectors are indexed once: since ties go to the smaller id, only their k + 1 smallest ids can be
-    anyone's neighbours, and all of them ask. Rows without a comparable vector neither ask nor answer; an empty
+    anyone's neighbours, and all of them ask. At least ``visits`` parts of each of the ``tables`` partitions are
+    visited, and as many as it takes to meet ``recall`` of the neighbours of trial queries. Rows without a comparable vector neither ask nor answer; an empty
     table gives no rows.
     """
     spark = rows.sparkSession
@@ -158,12 +205,19 @@ def nearest(
     _, sample = sample_rows_of(reps, dim, sample_rows)
     if len(sample) == 0:
         return spark.createDataFrame([], "id bigint, other bigint, similarity double, rank_no bigint")
-    models = learn_partitions(sample, reps.count(), tables)
-    placed = materialise(routed(reps.select("id", "unit"), [m.route(visits) for m in models], dim), "placed")
     asks = units.where(queries) if queries is not None else units
     if queries is not None:
         asked = asks.select("unit").distinct().join(reps.select("unit", "id"), "unit").select("id", F.lit(True).alias("asked"))
-        placed = materialise(placed.join(asked, "id", "left").withColumn("routes", F.when(F.col("asked"), F.col("routes")).otherwise(F.transform("routes", lambda r: F.struct(r["home"].alias("home"), F.array().cast("array<int>").alias("visits"))))).drop("asked"), "asking")
+        places = materialise(reps.select("id", "unit").join(asked, "id", "left"), "asking")
+        asking, silent = places.where("asked").select("id", "unit"), places.where("asked is null").select("id", "unit")
+    else:
+        asking, silent = reps.select("id", "unit"), None
+    models = learn_partitions(sample, reps.count(), tables)
+    tables, visits = visits_for(reps, asking, models, k, least, dim, recall, visits)
+    placed = routed(asking, [m.route(visits) for m in models[:tables]], dim)
+    if silent is not None:
+        placed = placed.unionByName(routed(silent, [m.route(0) for m in models[:tables]], dim))
+    placed = materialise(placed, "placed")
     found = meet(placed, lambda h, v: _top_tile(h, v, k, least, dim), "id long, other long, similarity double").distinct()
     w = Window.partitionBy("id").orderBy(F.desc("similarity"), "other")
     groups = found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select(F.col("id").alias("rep"), "other", "similarity")

@@ -93,6 +93,21 @@ def test_neighbours_on_the_tables(spark):
     assert len(want & got) >= 0.9 * len(want)
 
 
+def test_recall_holds_where_parts_outnumber_visits(spark, monkeypatch):
+    """Neighbours of low cosine, spread over 30 parts of which 4 were visited whatever the recall."""
+    import shoebox.llm.neighbours as n
+
+    learn = n.learn_partitions
+    monkeypatch.setattr(n, "learn_partitions", lambda sample, rows, tables: learn(sample, rows, tables, 50))
+    v = np.random.default_rng(9).normal(size=(1500, 32)).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], VEC)
+    ids, u = unit_rows(df, 32)
+    for queries, asks in ((None, lambda i: True), ("id % 3 = 0", lambda i: i % 3 == 0)):
+        want = {w[:2] for w in truth_neighbours(ids, u, 5, -1) if asks(w[0])}
+        got = {(r["id"], r["other"]) for r in nearest(df, "id", "vec", 32, queries=queries).collect()}
+        assert len(want & got) >= 0.9 * len(want)
+
+
 def test_copies_and_ties_are_exact(spark):
     rnd = np.random.default_rng(2)
     one, other = rnd.normal(size=8), rnd.normal(size=8)
