@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from shoebox.scratch import materialise
 
 BROADCAST_KEYS = 500_000
-#: A final line or dotted phrase is a habit of authors from this share of all documents on, three at least.
+#: A final line or dotted phrase is a habit of authors from this share of all different texts on, three at least.
 HABIT = 2e-4
 #: A final run closes sentences if that is this share of its other occurrences.
 CLOSES = 0.3
@@ -68,6 +68,10 @@ FROM (SELECT *, array_max(transform(ending, (x, i) -> IF({_KIND} IN (1, 2, 3), 0
       FROM (SELECT *, slice(raw, greatest(1, size(raw) - 63), 64) ending FROM split))
 """
 
+# Texts that occur more than once; one row of each stands for all of them as evidence.
+_COPIES = "SELECT content, marked, min(row_id) first FROM tokens GROUP BY content, marked HAVING count(*) > 1"
+_TEXTS = "SELECT t.* FROM tokens t LEFT JOIN copies c ON t.content = c.content AND t.marked = c.marked WHERE c.first IS NULL OR t.row_id = c.first"
+
 _POSITIONS = f"""
 SELECT array(xxhash64(5, array(h5, h4, h3, h2, h1)), xxhash64(3, array(h3, h2, h1)), xxhash64(2, array(h2, h1)), word) keys,
        CASE WHEN n1 = 9 THEN IF(marked, 'marked', 'bare') WHEN n1 = 3 THEN 'stop' WHEN n1 IN (1, 2) THEN IF(n2 <> 0, 'stop', 'past') ELSE 'on' END follows
@@ -75,7 +79,7 @@ FROM (SELECT marked, g.`0` h5, g.`1` h4, g.`2` h3, g.`3` h2, g.`4` h1, g.`5` own
       FROM (SELECT marked, explode(arrays_zip(slice(h, 1, n), slice(h, 2, n), slice(h, 3, n), slice(h, 4, n), slice(h, 5, n), slice(k, 1, n), slice(k, 2, n), slice(k, 3, n), words)) g
             FROM (SELECT marked, size(raw) n, concat(array_repeat(xxhash64('^'), 4), transform(raw, x -> xxhash64({_CLASS}))) h,
                          concat(transform(raw, x -> {_KIND}), array(9, 9)) k, transform(raw, x -> xxhash64(1, lower(x))) words
-                  FROM tokens WHERE size(raw) > 0)))
+                  FROM texts WHERE size(raw) > 0)))
 WHERE own NOT IN (1, 2, 3)
 """
 
@@ -84,7 +88,7 @@ SELECT key, count_if(follows IN ('on', 'past')) goes_on, count_if(follows = 'pas
 FROM (SELECT explode(keys) key, follows FROM positions) JOIN wanted USING (key) GROUP BY key
 """
 
-_LINES = "SELECT last_line, count(*) n FROM tokens WHERE last_line IS NOT NULL AND length(last_line) <= 60 GROUP BY last_line HAVING count(*) >= greatest(3, {habit})"
+_LINES = "SELECT last_line, count(DISTINCT content) n FROM tokens WHERE last_line IS NOT NULL AND length(last_line) <= 60 GROUP BY last_line HAVING count(DISTINCT content) >= greatest(3, {habit})"
 
 # A length at which many different texts of a source end, mostly unclosed, with hardly any a little longer: a field's limit.
 _LIMITS = """
@@ -125,10 +129,10 @@ LEFT JOIN counts k5 ON k5.key = keys[0] LEFT JOIN counts k3 ON k3.key = keys[1]
 def judge_truncation(documents: DataFrame) -> DataFrame:
     """(doc_id, source, cut): whether each text ends inside a word or a sentence, with or without a mark for it.
 
-    Counts run over all texts. A final tag line, list item, file name, sum, signature or line that many texts share is
+    Counts run over all different texts, so copies of one are no evidence for it. A final tag line, list item, file name, sum, signature or line that many texts share is
     complete, and so are dots after a phrase that many texts end in, unless the last word is a fragment. A text without
     a closing sign whose length is the limit of its source's field was cut.
-    Null and empty texts are not cut; repeated texts count as often as they occur; rows without a doc_id
+    Null and empty texts are not cut; repeated texts are each judged and listed; rows without a doc_id
     are left out; an empty table gives no rows; other columns are ignored.
     """
     spark = documents.sparkSession
@@ -145,9 +149,12 @@ def judge_truncation(documents: DataFrame) -> DataFrame:
     docs.createOrReplaceTempView("docs")
     step("bodies", _BODIES)
     step("split", _TOKENS)
-    total = step("tokens", f"SELECT *, concat(runs, array(xxhash64(1, lower(word)))) keys FROM ({_FINALS})", store=True).count()
+    tokens = step("tokens", f"SELECT *, concat(runs, array(xxhash64(1, lower(word)))) keys, monotonically_increasing_id() row_id FROM ({_FINALS})", store=True)
+    copies = materialise(spark.sql(_COPIES), "copies")
+    (F.broadcast(copies) if copies.count() <= BROADCAST_KEYS else copies).createOrReplaceTempView("copies")
+    step("texts", _TEXTS)
     step("positions", _POSITIONS)
-    habit = HABIT * total
+    habit = HABIT * tokens.select("content").distinct().count()
     wanted = materialise(spark.table("tokens").select(F.explode("keys").alias("key")).distinct(), "wanted")
     (F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted).createOrReplaceTempView("wanted")
     step("counts", _COUNTS, store=True)
@@ -158,7 +165,7 @@ def judge_truncation(documents: DataFrame) -> DataFrame:
     for key, value in (("block", _LAST_BLOCK), ("habit", repr(habit)), ("often", str(often)), ("rarely", repr(rarely)), ("closes", repr(CLOSES))):
         verdict = verdict.replace("{" + key + "}", value)
     out = spark.sql(verdict)
-    for name in [*names, "docs", "wanted"]:
+    for name in [*names, "docs", "copies", "wanted"]:
         spark.catalog.dropTempView(name)
     return out
 

@@ -115,6 +115,18 @@ def test_cut_and_complete_texts(spark):
     assert by == {None: (150, 0), "a": (150, 0), "b": (20, 10)}
 
 
+def test_copies_of_a_cut_text_do_not_excuse_it(spark):
+    """A cut text of several lines and a cut text with dots, each copied until they are a third of the table."""
+    texts = corpus()
+    lined, dotted, word = texts[3] + "\nThe cat walked along the", "Nobody saw the horse under the...", "The dog walked along the riv"
+    copies = [lined] * 50 + [dotted] * 50 + [word] * 50
+    rows = [(i, "a", t) for i, t in enumerate(texts)] + [(1000 + i, "b", t) for i, t in enumerate(copies)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    assert sorted(r["doc_id"] for r in cut_documents(df).collect()) == [1000 + i for i in range(len(copies))]
+    by = {r["source"]: (r["n_documents"], r["n_cut"]) for r in truncation_by_source(df).collect()}
+    assert by == {"a": (len(texts), 0), "b": (150, 150)}
+
+
 def test_length_limit_of_a_field(spark):
     texts = corpus()
     rows = [(i, "form", t[:120] if i % 3 else t[:60].rsplit(".", 1)[0] + ".") for i, t in enumerate(texts)]
