@@ -78,8 +78,23 @@ def resolved_year(sidecar: Column, embedded: Column, video: Column, name: Column
     return F.struct(year.cast("int").alias("year"), source.alias("source"))
 
 
+def _fixed(n: Column, unit: float, digits: int) -> Column:
+    """``n / unit`` as text, rounded by the exact value of the double and exact ties to even, as C and Python print it.
+
+    Java's formatter rounds the shortest decimal text half up, so 150 000 bytes would be 0.2 MB, though the double is below 0.15.
+    """
+    v, step = F.abs(n / unit), 10**digits
+    low = F.floor(v * step)
+    # The product of v and an integer below 2 ** 26 is exact in two halves of v.
+    wide = v * 134217729.0
+    high = wide - (wide - v)
+    over = (high * (2.0 * step) - (2 * low + 1)) + (v - high) * (2.0 * step)
+    whole = low + F.when((over > 0) | ((over == 0) & (low % 2 == 1)), 1).otherwise(0)
+    return F.concat(F.when(n < 0, "-").otherwise(""), F.format_string(f"%d.%0{digits}d", F.floor(whole / step), whole % step))
+
+
 def human_bytes(n: Column) -> Column:
-    return F.when(n >= 1e9, F.format_string("%.2f GB", n / 1e9)).otherwise(F.format_string("%.1f MB", n / 1e6))
+    return F.when(n >= 1e9, F.concat(_fixed(n, 1e9, 2), F.lit(" GB"))).otherwise(F.concat(_fixed(n, 1e6, 1), F.lit(" MB")))
 
 
 def human_seconds(sec: Column) -> Column:

@@ -208,3 +208,17 @@ def test_paging_and_lookup(spark):
     with pytest.raises(KeyError):
         listing.required(listing.lookup(f, "id", 99), "file")
     assert listing.with_persons(f, spark.createDataFrame([(1, 2)], "file_id long, person_id long"), []).count() == 0
+
+
+def test_bytes_at_rounding_ties(spark):
+    """Every size has its text, also odd multiples of 50 000 and of 5 000 000 bytes."""
+    import os
+    import tempfile
+
+    from shoebox.plans import registry
+
+    sizes = [0, 1, 49_999, 50_001, *range(50_000, 20_000_000, 100_000), 250_000, 999_950_000, 999_999_999, 10**9, *range(1_005_000_000, 4_000_000_000, 10_000_000), 1_004_999_999, 2**53 + 1, 9 * 10**18]
+    with tempfile.TemporaryDirectory() as d:
+        spark.createDataFrame([(i, n) for i, n in enumerate(sizes)] + [(len(sizes), None)], "id long, size long").write.parquet(os.path.join(d, "files.parquet"))
+        got = {r["id"]: r["h"] for r in registry.collect("QUERIES")["X26_human_bytes"](spark, d).collect()}
+    assert got == {i: f"{n / 1e9:.2f} GB" if n >= 1e9 else f"{n / 1e6:.1f} MB" for i, n in enumerate(sizes)}
