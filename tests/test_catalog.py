@@ -8,7 +8,7 @@ from shoebox.functions import media, names
 from shoebox.functions.hashes import checksum, phash64
 from shoebox.operators import changes, duplicates, frames, listing, trees, vectors
 from shoebox.operators.components import connected_components
-from shoebox.operators.hamming import hamming_join, layout
+from shoebox.operators.hamming import cheapest_errors, hamming_join, layout
 from shoebox.operators.search import parse_query, search
 from shoebox.scratch import materialise
 
@@ -39,21 +39,29 @@ def test_checksum_spellings(spark):
 
 
 @settings(max_examples=12, deadline=None)
-@given(st.lists(st.integers(-(2**63), 2**63 - 1), min_size=2, max_size=40), st.sampled_from([1, 3, 7, 8]))
-def test_hamming_join_misses_nothing(spark, seeds, d):
+@given(st.lists(st.integers(-(2**63), 2**63 - 1), min_size=2, max_size=40), st.sampled_from([1, 3, 7, 8]), st.sampled_from([None, 1, 2, 3]))
+def test_hamming_join_misses_nothing(spark, seeds, d, errors):
     rnd = np.random.default_rng(abs(seeds[0]) % 2**32)
     flip = lambda x: int(np.int64(x ^ sum(1 << int(b) for b in rnd.choice(63, rnd.integers(0, d + 2), replace=False))))
     values = sorted({*seeds, *(flip(s) for s in seeds)})
     h = materialise(spark.createDataFrame([(v,) for v in values], "h long"), "test")
-    got = {(r["h_a"], r["h_b"]) for r in hamming_join(h, h, d, same=True).collect()}
+    got = [(r["h_a"], r["h_b"]) for r in hamming_join(h, h, d, same=True, errors=errors).collect()]
+    assert len(got) == len(set(got))
+    got = set(got)
     want = {(a, b) for a in values for b in values if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= d}
     assert got == want
 
 
 def test_chunk_layout_covers_all_bits():
     for d in range(1, 16):
-        chunks = layout(d)
-        assert sum(w for _, w in chunks) == 64 and 2 * len(chunks) > d
+        for errors in (1, 2, 3):
+            chunks = layout(d, errors)
+            assert sum(w for _, w in chunks) == 64 and d // len(chunks) <= errors
+
+
+def test_layout_follows_the_rows():
+    assert [cheapest_errors(7, n) for n in (1_000, 1_000_000, 1_000_000_000)] == [1, 2, 3]
+    assert [cheapest_errors(7, n, True) for n in (1_000, 5_000_000, 1_000_000_000)] == [1, 2, 3]
 
 
 def _components(links):
@@ -74,7 +82,9 @@ def _components(links):
 
 @pytest.mark.parametrize("links", [[], [(1, 1)], [(2, 1), (1, 2), (None, 3), (3, 4)], [(i, i + 1) for i in range(60)], [(50, i) for i in range(100)], [(int(a), int(b)) for a, b in np.random.default_rng(5).integers(0, 90, (70, 2))]])
 def test_components(spark, rows, links):
-    assert rows(connected_components(spark.createDataFrame(links, "a long, b long"))) == sorted(_components(links), key=repr)
+    for one_task in (1_000, 0):
+        got = connected_components(spark.createDataFrame(links, "a long, b long"), one_task=one_task)
+        assert rows(got) == sorted(_components(links), key=repr)
 
 
 def test_keeper_ties_and_order(spark):
