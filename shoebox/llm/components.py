@@ -1,9 +1,10 @@
 """Consolidating pairwise matches into groups.
 
 Union-find runs inside bounded edge partitions and keeps only a spanning forest of each; forests are
-merged level by level into fewer partitions, none larger than a bound, until one partition holds what is left. Where
-the forest of all records exceeds the bound, a contraction step replaces it by links among the roots of the partitions
-and merging goes on with these, so no task ever holds more than the bound.
+merged level by level into fewer partitions until one partition holds what is left. Edges of a node lie together,
+but those of a hub, a node with more edges than an eighth of a partition, are spread by their other end, so
+partitions stay near the bound whatever the degrees. Where the forest of all records exceeds the bound, a contraction
+step replaces it by links among the roots of the partitions and merging goes on with these.
 """
 
 from __future__ import annotations
@@ -15,8 +16,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoebox.operators.hamming import hamming_join
 from shoebox.functions.hashes import phash64
+from shoebox.operators.components import spanning_forest
+from shoebox.operators.hamming import hamming_join
 from shoebox.scratch import materialise
 
 EDGES_PER_PARTITION = 1_000_000
@@ -24,41 +26,6 @@ CHUNK = 250_000
 _FOREST = "root long, node long"
 
 
-def _priority(x: np.ndarray, seed: int) -> np.ndarray:
-    """A pseudo-random order of the records, another one for every level (bijective 64-bit mix)."""
-    z = x.astype(np.uint64) + np.uint64((0x9E3779B97F4A7C15 * (seed + 1)) % 2**64)
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
-    return z ^ (z >> np.uint64(31))
-
-
-def spanning_forest(a: np.ndarray, b: np.ndarray, seed: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(root, node) of a star-shaped spanning forest of the edges a-b, roots left out as nodes.
-
-    The root is the smallest record of its tree, or with a seed the first in that seed's pseudo-random order.
-    Union by order with path compression, in whole-array steps.
-    """
-    names, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
-    if seed is not None:
-        order = np.argsort(_priority(names, seed), kind="stable")
-        names, place = names[order], np.argsort(order, kind="stable")
-        flat = place[flat]
-    u, v = flat[: len(a)], flat[len(a) :]
-    parent = np.arange(len(names))
-    while len(u):
-        ru, rv = parent[u], parent[v]
-        open_ = ru != rv
-        u, v, ru, rv = u[open_], v[open_], ru[open_], rv[open_]
-        np.minimum.at(parent, np.maximum(ru, rv), np.minimum(ru, rv))
-        while True:
-            up = parent[parent]
-            if np.array_equal(up, parent):
-                break
-            parent = up
-    child = np.flatnonzero(parent != np.arange(len(names)))
-    return names[parent[child]], names[child]
-
-
 def _forests(batches: Iterator[pd.DataFrame], seed: int | None) -> Iterator[pd.DataFrame]:
     """Fold a stream of edges into one forest; memory follows the records met, not the edges."""
     root = node = np.empty(0, np.int64)
@@ -81,8 +48,21 @@ def _forests(batches: Iterator[pd.DataFrame], seed: int | None) -> Iterator[pd.D
         yield pd.DataFrame({"root": root[i : i + CHUNK], "node": node[i : i + CHUNK]})
 
 
-def _merge(edges: DataFrame, partitions: int, seed: int | None) -> tuple[DataFrame, int]:
-    out = materialise(edges.repartition(partitions, "a").mapInPandas(lambda b: _forests(b, seed), _FOREST), "forest")
+def deal(edges: DataFrame, partitions: int, edges_per_partition: int) -> DataFrame:
+    """Edges by their first end, those of hubs by both ends.
+
+    At most ``8 * partitions`` nodes can be hubs, so they are broadcast.
+    """
+    if partitions == 1:
+        return edges.select("a", "b").coalesce(1)
+    hubs = edges.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > max(1, edges_per_partition // 8)).select("a", F.lit(True).alias("hub"))
+    place = F.when(F.col("hub"), F.xxhash64("a", "b")).otherwise(F.xxhash64("a"))
+    return edges.join(F.broadcast(hubs), "a", "left").repartition(partitions, place).select("a", "b")
+
+
+def _merge(edges: DataFrame, partitions: int, seed: int | None, edges_per_partition: int) -> tuple[DataFrame, int]:
+    dealt = deal(edges, partitions, edges_per_partition)
+    out = materialise(dealt.mapInPandas(lambda b: _forests(b, seed), _FOREST), "forest")
     return out, out.count()
 
 
@@ -100,7 +80,7 @@ def connected_components(edges: DataFrame, edges_per_partition: int = EDGES_PER_
     level = 0
     while True:
         last = partitions == 1
-        forest, left = _merge(cur, partitions, None if last else level)
+        forest, left = _merge(cur, partitions, None if last else level, edges_per_partition)
         if last:
             break
         fewer = max(1, -(-partitions // fan_in), -(-left // edges_per_partition))

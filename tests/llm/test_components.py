@@ -1,8 +1,9 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shoebox.llm import components
-from shoebox.llm.components import connected_components, consolidate, match_links, spanning_forest
+from shoebox.llm.components import connected_components, consolidate, deal, match_links, spanning_forest
 
 
 def truth(links):
@@ -49,6 +50,15 @@ def test_contraction_is_reached_and_right(spark, rows, monkeypatch):
     assert "hung" in seen
 
 
+def test_hub_is_spread(spark, rows):
+    """A star of 40 times the bound: no partition holds much more than the bound."""
+    links = [(0, i) for i in range(1, 40_001)]
+    df = spark.createDataFrame(links, "a long, b long")
+    sizes = deal(df, 40, 1000).groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert sizes <= 1500
+    assert rows(connected_components(df, edges_per_partition=1000)) == sorted([(0, i) for i in range(40_001)], key=repr)
+
+
 def test_forest_is_a_forest():
     rnd = np.random.default_rng(1)
     a, b = rnd.integers(0, 200, 300), rnd.integers(0, 200, 300)

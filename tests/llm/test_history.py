@@ -1,6 +1,10 @@
 import random
+import shutil
+
+import pytest
 
 from shoebox.llm.history import HashForest, screen_batches, signatures
+from shoebox.scratch import materialise
 
 ROW = "id long, md5 string, sha256 string, phash string"
 
@@ -47,31 +51,79 @@ def test_batches_one_after_the_other_and_merged_runs(spark, tmp_path):
     batches = [rows_of(25, 1000 * k, rnd, pool) for k in range(1, 5)]
     path, seen, found = f"file://{tmp_path}/forest", [], set()
     for k, batch in enumerate(batches):
-        forest = HashForest(spark, path)
-        sig = signatures(spark.createDataFrame(batch, ROW))
-        found |= {tuple(r) for r in forest.repeats(sig).collect()}
+        forest = HashForest(spark, path, rows_per_range=16)
+        sig = materialise(signatures(spark.createDataFrame(batch, ROW)), "batch")
+        found |= {tuple(r) for r in forest.pairs(sig).collect()}
         assert found == {p for p in truth(seen, [r for b in batches[: k + 1] for r in b]) if p[0] // 1000 < p[1] // 1000}
-        forest.append(sig)
-        forest.merge_runs(most=2)
+        assert forest.accept(sig) == 25 and forest.accept(sig) == 0
+        forest.merge_runs(fan=2)
         assert len(HashForest(spark, path).runs) <= 3
-        assert HashForest(spark, path).rows().count() == 25 * (k + 1)
-
-
-def test_half_written_runs_do_not_count(spark, tmp_path):
+        assert HashForest(spark, path).ids().count() == 25 * (k + 1)
+
+
+def test_screening_again_adds_nothing(spark, tmp_path):
+    rnd = random.Random(3)
+    pool = [rnd.getrandbits(64) | 1 for _ in range(6)]
+    files, listing = rows_of(40, 1, rnd, pool), [(*r, rnd.choice([1, None])) for r in rows_of(40, 1000, rnd, pool)]
+    path = f"file://{tmp_path}/kept"
+    for _ in range(2):
+        got = screen_batches(spark.createDataFrame(files, ROW), spark.createDataFrame(listing, ROW + ", batch_no int"), path)
+        assert sorted(tuple(r) for r in got.collect()) == sorted(truth(files, [r[:4] for r in listing]))
+        assert HashForest(spark, path).ids().count() == 80
+
+
+def test_only_touched_ranges_are_read(spark, tmp_path, monkeypatch):
+    rnd = random.Random(4)
+    forest = HashForest(spark, f"file://{tmp_path}/r", rows_per_range=64)
+    forest.accept(materialise(signatures(spark.createDataFrame([(i, None, None, f"{rnd.getrandbits(64) | 1:016x}") for i in range(4096)], ROW)), "batch"))
+    assert forest.runs[0].bits == 6
+    one = materialise(signatures(spark.createDataFrame([(9999, None, None, "123456789abcdef1")], ROW)), "batch")
+    read, seen = forest._read, []
+    monkeypatch.setattr(forest, "_read", lambda *a: (seen.append(read(*a)), seen[-1])[1])
+    forest.similar(one)
+    ranges = lambda d: d.select("kind", "range").distinct().count()
+    assert 0 < ranges(seen[0]) < ranges(forest._entries(forest.runs, [f"tree{i}" for i in range(4)])) / 2
+
+
+@pytest.mark.parametrize("errors", [1, 2, 3])
+def test_every_layout_misses_nothing(spark, tmp_path, monkeypatch, errors):
+    monkeypatch.setattr("shoebox.llm.history.cheapest_errors", lambda *a: errors)
+    rnd = random.Random(errors)
+    base = [rnd.getrandbits(64) | 1 for _ in range(20)]
+    near = [b ^ sum(1 << x for x in rnd.sample(range(64), 7)) for b in base]
+    forest = HashForest(spark, f"file://{tmp_path}/l")
+    forest.accept(materialise(signatures(spark.createDataFrame([(i, None, None, f"{h:016x}") for i, h in enumerate(base)], ROW)), "batch"))
+    batch = materialise(signatures(spark.createDataFrame([(100 + i, None, None, f"{h:016x}") for i, h in enumerate(near)], ROW)), "batch")
+    got = [tuple(r) for r in forest.similar(batch).collect()]
+    assert len(got) == len(set(got)) == 20
+
+
+def test_half_written_and_merged_runs_do_not_count(spark, tmp_path):
     forest = HashForest(spark, f"file://{tmp_path}/f")
-    forest.append(signatures(spark.createDataFrame([(1, None, None, "ff")], ROW)))
-    (tmp_path / "f/run-00000001/rows").mkdir(parents=True)
-    assert HashForest(spark, f"file://{tmp_path}/f").runs == ["run-00000000"]
-
-
-def test_rings_widen_to_the_target(spark, tmp_path):
+    for i in range(2):
+        forest.accept(materialise(signatures(spark.createDataFrame([(i, None, None, "ff")], ROW)), "batch"))
+    old = [r.name for r in forest.runs]
+    (tmp_path / "f/run=00000002-00000002-1-1-0").mkdir()
+    assert [r.name for r in HashForest(spark, f"file://{tmp_path}/f").runs] == old
+    for r in old:
+        shutil.copytree(tmp_path / "f" / r, tmp_path / "kept" / r)
+    forest.merge_runs(fan=2)
+    for r in old:
+        # As if the job had been lost before it removed the small runs.
+        shutil.copytree(tmp_path / "kept" / r, tmp_path / "f" / r, dirs_exist_ok=True)
+    again = HashForest(spark, f"file://{tmp_path}/f")
+    assert [(r.first, r.last) for r in again.runs] == [(0, 1)] and again.ids().count() == 2
+
+
+def test_prefixes_widen_to_the_target(spark, tmp_path):
     forest = HashForest(spark, f"file://{tmp_path}/g")
-    assert [forest.guaranteed(r) for r in (0, 1)] == [3, 7]
-    one = lambda h: signatures(spark.createDataFrame([(1, None, None, f"{h:x}")], ROW))
-    forest.append(one(0xFFFF))
-    # Five bits over four chunks, two in one: the narrow ring still meets it in a chunk of no error only if there is one.
-    far = 0xFFFF ^ (1 | 1 << 17 | 1 << 33 | 1 << 49)
-    assert forest.similar(one(far), recall=0.5).count() == 0 and forest.similar(one(far)).count() == 1
+    forest.accept(materialise(signatures(spark.createDataFrame([(1, None, None, "ffff")], ROW)), "batch"))
+    run = forest.runs[0]
+    assert 0.3 < forest.recall(run, 0) < 0.6 and forest.recall(run, 1) == 1
+    assert (forest.radius(run, 0.3), forest.radius(run, 0.9), forest.radius(run, 1.0)) == (0, 1, 1)
+    # One bit in each of the four chunks: the narrow prefixes miss it, the wider ones do not.
+    far = materialise(signatures(spark.createDataFrame([(2, None, None, f"{0xFFFF ^ (1 | 1 << 17 | 1 << 33 | 1 << 49):x}")], ROW)), "batch")
+    assert forest.similar(far, recall=0.3).count() == 0 and forest.similar(far).count() == 1
 
 
 def test_empty_tables(spark):
