@@ -1,8 +1,8 @@
 """Text cut off by field limits or in transfer.
 
-Pure SQL: word trigrams (and, where they are too rare or leave it open, longer and shorter runs) are counted inside
-texts and at sentence ends. A text whose final run often goes on elsewhere and almost never closes a sentence was cut
-there; one whose last word occurs nowhere else but at such ends was cut inside a word.
+Pure SQL: word trigrams, with runs of five and two words and single words where they are too rare or too common, are
+counted inside texts and at ends of sentences and texts. A text whose final run often goes on elsewhere and almost never ends
+there was cut; so was one whose last word is no word of the corpus but the beginning of one.
 """
 
 from __future__ import annotations
@@ -13,89 +13,95 @@ from pyspark.sql import functions as F
 from shoebox.scratch import materialise
 
 BROADCAST_KEYS = 500_000
-#: A final line or dotted phrase is a habit of authors from this share of all different texts on, three at least.
-HABIT = 2e-4
-#: A final run closes sentences if that is this share of its other occurrences.
+#: A final run is terminal if this share of its other occurrences are.
 CLOSES = 0.3
+#: Occurrences from which on a run is evidence.
+EVIDENCE = 3
 #: A sign after a final run does not close a sentence (an abbreviation, a quoted cry): text went on past it this often, and
 #: almost never began anew.
 GOES_PAST = (10, 0.02)
 
-# A file name, the stem of one, a word, a number, dots, a line end, any other sign. Letters and digits are taken possessively.
-_TOKEN = (
-    r"\p{L}*+[_-]?\d[\p{L}\d_-]*+\.[A-Za-z][A-Za-z0-9]{2,3}(?![\p{L}\d])"
-    r"|\p{L}++[_-]?\d{3,}[\d_]*|\p{L}++(?:[\x27’]\p{L}++)*|\d++|\.{2,}|…|\n|\S"
-)
 # Signs that stand around words without ending anything.
 _QUIET = '()[]{}"“”„«»*'
+# Signs that are words of their own wherever they stand.
+_APART = ",;:!?#…\n"
 
 # Texts without their end mark and final white space, with what their punctuation says.
 _BODIES = r"""
-SELECT doc_id, source, chars, body, marked,
+SELECT doc_id, source, chars, body, marked, right(body, 1) last_char, xxhash64(body) content,
        rlike(body, r'[.!?][)\]\x22“”»’\x27 ]*$') closed,
        (length(body) - length(replace(body, '"', ''))) % 2 = 1
-         OR rlike(tail, r'(?<![:;8=-])\([^()]*$') OR rlike(tail, r'«[^»]*$') OR rlike(tail, r'„[^“”]*$') open,
+         OR rlike(body, r'(?<![:;8=-])\([^()]*$') OR rlike(body, r'«[^»]*$') OR rlike(body, r'„[^“”]*$') open,
        CASE WHEN instr(body, '\n') > 0 THEN trim(substring_index(body, '\n', -1)) END last_line
-FROM (SELECT *, right(body, 300) tail FROM (
-  SELECT doc_id, source, length(text) chars, rlike(text, r'(?:\.{2,}|…)[)\]\s ]*$') marked,
-         regexp_replace(regexp_replace(replace(text, '\r', ''), r'[\s ]+$', ''), r'\s*(?:[\[(](?:\.{2,}|…)[)\]]|\.{2,}|…)$', '') body
-  FROM docs))
+FROM (SELECT doc_id, source, chars, marked, IF(marked, regexp_replace(bare, r'\s*(?:[\[(](?:\.{2,}|…)[)\]]|\.{2,}|…)$', ''), bare) body
+      FROM (SELECT doc_id, source, length(text) chars, rlike(text, r'(?:\.{2,}|…)[)\]\s ]*$') marked, regexp_replace(replace(text, '\r', ''), r'[\s ]+$', '') bare FROM docs))
 """
 
-# In runs, numbers, file names, stems and capitalised words stand for their kind.
-_CLASS = """CASE
-  WHEN x >= '0' AND x < ':' THEN CASE WHEN contains(x, '.') THEN 'FILE' ELSE '0' END
-  WHEN x <> translate(x, '0123456789', '') THEN CASE WHEN contains(x, '.') THEN 'FILE' ELSE 'STEM' END
-  WHEN left(x, 1) <> lower(left(x, 1)) AND length(x) > 1 THEN 'Name' ELSE lower(x) END"""
-# What a token does to the one before it: 1 a full stop, 2 another end sign, 3 dots or a line end, 4 begins a sentence, 0 goes on.
-_KIND = r"""CASE
-  WHEN x = '.' THEN 1 WHEN x IN ('!', '?') THEN 2 WHEN x IN ('…', '\n') OR left(x, 2) = '..' THEN 3
-  WHEN x >= '0' AND x < ':' THEN IF(contains(x, '.'), 4, 0)
-  WHEN left(x, 1) <> lower(left(x, 1)) OR upper(x) = lower(x) OR contains(x, '.') THEN 4 ELSE 0 END"""
 
+def _spaced(text: str) -> str:
+    """Words and signs with one blank between them; a full stop is a sign only before white space or at the end."""
+    out = f"translate({text}, '{_QUIET}\t ', repeat(' ', {len(_QUIET) + 2}))"
+    out = f"replace(replace({out}, '...', '…'), '..', '…')"
+    for sign in _APART:
+        shown = "\\n" if sign == "\n" else sign
+        out = f"replace({out}, '{shown}', ' {shown} ')"
+    return f"trim(regexp_replace(replace(concat({out}, ' '), '. ', ' . '), ' {{2,}}', ' '))"
+
+
+# Each text as blank-separated words twice: in lower case, and with numbers and capitalised words standing for their kind.
 _TOKENS = f"""
-SELECT doc_id, source, chars, marked, closed, open, last_line, right(body, 1) last_char, xxhash64(body) content,
-       regexp_extract_all(translate(body, '{_QUIET}', repeat(' ', {len(_QUIET)})), r'{_TOKEN}', 0) raw
-FROM bodies
+SELECT doc_id, source, chars, marked, closed, open, last_line, last_char, content, lower(words) low,
+       lower(regexp_replace(regexp_replace(words, r'\\d++', '0'), r'\\p{{Lu}}\\p{{L}}++', '¤')) kinds
+FROM (SELECT *, {_spaced("body")} words FROM bodies)
 """
 
-# The last word of each text and the runs that end in it.
-_FINALS = f"""
-SELECT doc_id, source, chars, marked, closed, open, last_line, last_char, content, raw, try_element_at(raw, -1) last_sign,
-       CASE WHEN at > 0 THEN try_element_at(ending, at) END word,
-       CASE WHEN at > 0 THEN transform(array(5, 3, 2), k -> xxhash64(k, transform(slice(ending_classes, at + 5 - k, k), x -> xxhash64(x)))) END runs
-FROM (SELECT *, array_max(transform(ending, (x, i) -> IF({_KIND} IN (1, 2, 3), 0, i + 1))) at, concat(array('^', '^', '^', '^'), transform(ending, x -> {_CLASS})) ending_classes
-      FROM (SELECT *, slice(raw, greatest(1, size(raw) - 63), 64) ending FROM split))
+# Positions of the last word and the runs that end in it; the signs that end sentences, dots and line ends do not count as words.
+_FINALS = r"""
+SELECT * EXCEPT (low, kinds, l, at, g, ending), try_element_at(l, -1) last_sign, CASE WHEN at > 0 THEN element_at(l, at) END word,
+       CASE WHEN at > 0 THEN array(xxhash64(g[0], g[1], g[2], g[3], g[4]), xxhash64(g[2], g[3], g[4]), xxhash64(g[3], g[4])) END runs
+FROM (SELECT * EXCEPT (a), transform(sequence(at - 4, at), i -> xxhash64(IF(i < 1, '^', a[i - 1]))) g
+      FROM (SELECT *, split(kinds, ' ') a, split(low, ' ') l, IF(ending = '', 0, size(split(ending, ' '))) at
+            FROM (SELECT *, regexp_replace(low, r'(?:(?:^| )[.!?…\n])+$', '') ending FROM tokens)))
 """
 
 # Texts that occur more than once; one row of each stands for all of them as evidence.
 _COPIES = "SELECT content, marked, min(row_id) first FROM tokens GROUP BY content, marked HAVING count(*) > 1"
-_TEXTS = "SELECT t.* FROM tokens t LEFT JOIN copies c ON t.content = c.content AND t.marked = c.marked WHERE c.first IS NULL OR t.row_id = c.first"
+_TEXTS = "SELECT t.marked, t.low, t.kinds FROM tokens t LEFT JOIN copies c ON t.content = c.content AND t.marked = c.marked WHERE c.first IS NULL OR t.row_id = c.first"
+
+# What a word does to the one before it: 1 a full stop, 2 another end sign, 3 dots or a line end, 4 begins a sentence, 0 goes on.
+_KIND = r"""CASE WHEN x = '.' THEN 1 WHEN x IN ('!', '?') THEN 2 WHEN x IN ('…', '\n') THEN 3 WHEN x >= 'a' AND x < '{' THEN IF(contains(x, '.'), 4, 0)
+  WHEN x = '0' OR left(x, 1) >= 'ß' THEN 0 ELSE 4 END"""
 
 _POSITIONS = f"""
-SELECT array(xxhash64(5, array(h5, h4, h3, h2, h1)), xxhash64(3, array(h3, h2, h1)), xxhash64(2, array(h2, h1)), word) keys,
-       CASE WHEN n1 = 9 THEN IF(marked, 'marked', 'bare') WHEN n1 = 3 THEN 'stop' WHEN n1 IN (1, 2) THEN IF(n2 <> 0, 'stop', 'past') ELSE 'on' END follows
-FROM (SELECT marked, g.`0` h5, g.`1` h4, g.`2` h3, g.`3` h2, g.`4` h1, g.`5` own, g.`6` n1, g.`7` n2, g.words word
-      FROM (SELECT marked, explode(arrays_zip(slice(h, 1, n), slice(h, 2, n), slice(h, 3, n), slice(h, 4, n), slice(h, 5, n), slice(k, 1, n), slice(k, 2, n), slice(k, 3, n), words)) g
-            FROM (SELECT marked, size(raw) n, concat(array_repeat(xxhash64('^'), 4), transform(raw, x -> xxhash64({_CLASS}))) h,
-                         concat(transform(raw, x -> {_KIND}), array(9, 9)) k, transform(raw, x -> xxhash64(1, lower(x))) words
-                  FROM texts WHERE size(raw) > 0)))
+SELECT stack(4, h5, h3, h2, word) key, CASE WHEN n1 = 9 THEN IF(marked, 'marked', 'bare') WHEN n1 = 3 THEN 'stop' WHEN n1 IN (1, 2) THEN IF(n2 <> 0, 'stop', 'past') ELSE 'on' END follows
+FROM (SELECT marked, xxhash64(g.`0`, g.`1`, g.`2`, g.`3`, g.`4`) h5, xxhash64(g.`2`, g.`3`, g.`4`) h3, xxhash64(g.`3`, g.`4`) h2, g.l word, g.`5` own, g.`6` n1, g.`7` n2
+      FROM (SELECT marked, explode(arrays_zip(slice(h, 1, n), slice(h, 2, n), slice(h, 3, n), slice(h, 4, n), slice(h, 5, n), slice(k, 1, n), slice(k, 2, n), slice(k, 3, n), l)) g
+            FROM (SELECT marked, size(a) n, transform(l, x -> xxhash64(1, x)) l, concat(array_repeat(xxhash64('^'), 4), transform(a, x -> xxhash64(x))) h, concat(transform(a, x -> {_KIND}), array(9, 9)) k
+                  FROM (SELECT marked, split(kinds, ' ') a, split(low, ' ') l FROM texts WHERE kinds <> ''))))
 WHERE own NOT IN (1, 2, 3)
 """
 
 _COUNTS = """
 SELECT key, count_if(follows IN ('on', 'past')) goes_on, count_if(follows = 'past') past, count_if(follows = 'stop') stops, count_if(follows = 'marked') trails, count_if(follows = 'bare') bare
-FROM (SELECT explode(keys) key, follows FROM positions) JOIN wanted USING (key) GROUP BY key
+FROM positions JOIN wanted USING (key) GROUP BY key
+"""
+
+# Final words that stand nowhere inside a text, and whether the corpus has longer words that begin like them.
+_FRAGMENTS = r"""
+SELECT DISTINCT u.word fragment FROM
+  (SELECT DISTINCT word FROM tokens LEFT JOIN counts ON key = keys[3] WHERE rlike(word, r'^\p{L}[^\d.]*$') AND coalesce(goes_on + stops, 0) = 0) u
+JOIN (SELECT word, explode(transform(sequence(1, length(word) - 1), i -> left(word, i))) stem
+      FROM (SELECT DISTINCT explode(split(low, ' ')) word FROM texts) WHERE rlike(word, r'^\p{L}{2}')) v ON v.stem = u.word
 """
 
-_LINES = "SELECT last_line, count(DISTINCT content) n FROM tokens WHERE last_line IS NOT NULL AND length(last_line) <= 60 GROUP BY last_line HAVING count(DISTINCT content) >= greatest(3, {habit})"
+_LINES = "SELECT last_line, count(DISTINCT content) n FROM tokens WHERE last_line IS NOT NULL GROUP BY last_line HAVING count(DISTINCT content) >= {evidence}"
 
 # A length at which many different texts of a source end, mostly unclosed, with hardly any a little longer: a field's limit.
 _LIMITS = """
 SELECT source, chars top FROM (
   SELECT *, coalesce(sum(n) OVER (PARTITION BY source ORDER BY chars RANGE BETWEEN 1 FOLLOWING AND 25 FOLLOWING), 0) above,
          coalesce(sum(n) OVER (PARTITION BY source ORDER BY chars RANGE BETWEEN 25 PRECEDING AND 3 PRECEDING), 0) / 23 below
-  FROM (SELECT source, chars, count(*) n, count(DISTINCT content) texts, count_if(NOT closed) unclosed FROM tokens WHERE chars > 20 GROUP BY source, chars))
+  FROM (SELECT source, chars, count(*) n, count(DISTINCT content) texts, count_if(NOT closed) unclosed FROM tokens GROUP BY source, chars))
 WHERE texts >= 5 AND n >= 3 * below AND above <= 0.2 * n AND unclosed >= 0.6 * n
 """
 
@@ -103,69 +109,81 @@ _LAST_BLOCK = (
     r"^(?:--|—|–)\s*\S|^(?:#[\p{L}\d_]+\s*)+$|^\s*(?:[-*•]|\d+[.)])\s+\S|^\S*\d\S*\.[A-Za-z][A-Za-z0-9]{2,3}$|\d[.,]\d{2}$|^[^\p{L}]*$"
 )
 
+# The reason of each verdict: those that begin with 'cut' were cut. Runs are asked before signs and lengths.
 _VERDICT = r"""
-SELECT doc_id, source, CASE
-  WHEN word IS NULL THEN false
-  WHEN last_char = '�' THEN true
-  WHEN line_n IS NOT NULL THEN false
-  WHEN last_line IS NOT NULL AND rlike(last_line, r'{block}') THEN is_word AND k1.goes_on + k1.stops = 0 AND k1.bare < greatest(3, {habit})
-  WHEN stem AND (marked OR NOT closed) THEN true
-  WHEN closed THEN open OR k3.past >= {often} AND k3.stops <= {rarely} * k3.past OR k1.past >= {often} AND k1.stops <= {rarely} * k1.past
-  WHEN marked AND k3.trails >= greatest(3, {habit}) AND k3.trails > k3.goes_on THEN false
-  WHEN open OR at_limit THEN true
-  WHEN last_sign IN (',', ';', ':', '/', '+', '-', '&', '(') THEN true
-  WHEN is_word AND k1.goes_on + k1.stops = 0 THEN true
-  ELSE coalesce(CASE WHEN k5.goes_on + k5.stops >= 3 THEN k5.stops / (k5.goes_on + k5.stops) END,
-                CASE WHEN k3.goes_on + k3.stops >= 3 THEN k3.stops / (k3.goes_on + k3.stops) END,
-                CASE WHEN k2.goes_on + k2.stops >= 1 THEN k2.stops / (k2.goes_on + k2.stops) END, 0) < {closes}
-  END cut
-FROM (SELECT t.*, rlike(word, r'^\p{L}') AND NOT rlike(word, r'\d') is_word, rlike(word, r'\d') AND rlike(word, r'^\p{L}') AND NOT contains(word, '.') stem,
-             l.n line_n, m.top IS NOT NULL at_limit
-      FROM (SELECT * EXCEPT (raw) FROM tokens) t LEFT JOIN lines l USING (last_line) LEFT JOIN limits m ON t.source = m.source AND t.chars = m.top)
-LEFT JOIN counts k5 ON k5.key = keys[0] LEFT JOIN counts k3 ON k3.key = keys[1] LEFT JOIN counts k2 ON k2.key = keys[2] LEFT JOIN counts k1 ON k1.key = keys[3]
+SELECT doc_id, source, reason, startswith(reason, 'cut') cut FROM (SELECT doc_id, source, CASE
+  WHEN word IS NULL THEN 'no word'
+  WHEN last_char = '�' THEN 'cut: broken character'
+  WHEN line_n > coalesce(k3.goes_on, 0) THEN 'line of its own'
+  WHEN last_line IS NOT NULL AND rlike(last_line, r'{block}') THEN IF(fragment AND NOT closed, 'cut: word', 'tag, item, file, sum or signature')
+  WHEN stem AND (marked OR NOT closed) THEN 'cut: file name'
+  WHEN closed THEN CASE WHEN k3.past >= {often} AND k3.stops <= {rarely} * k3.past THEN 'cut: run of 3' WHEN k1.past >= {often} AND k1.stops <= {rarely} * k1.past THEN 'cut: run of 1' WHEN open THEN 'cut: open' ELSE 'closed' END
+  WHEN marked AND k3.trails >= {evidence} AND k3.trails > k3.goes_on THEN 'dots of the author'
+  WHEN s5 < {closes} THEN 'cut: run of 5' WHEN s5 IS NULL AND s3 < {closes} THEN 'cut: run of 3' WHEN s5 IS NULL AND s3 IS NULL AND s2 < {closes} THEN 'cut: run of 2'
+  WHEN fragment THEN 'cut: word'
+  WHEN open THEN 'cut: open' WHEN at_limit THEN 'cut: limit' WHEN last_sign IN (',', ';', ':', '/', '+', '-', '&', '(') THEN 'cut: sign'
+  WHEN coalesce(s5, s3, s2) >= {closes} THEN 'run ends'
+  WHEN s1 >= {closes} THEN 'word ends'
+  WHEN s1 < {closes} THEN 'cut: run of 1'
+  ELSE 'cut: nothing like it' END reason
+FROM (SELECT t.*, rlike(word, r'\d') AND rlike(word, r'^\p{L}') AND NOT contains(word, '.') stem, l.n line_n, m.top IS NOT NULL at_limit, f.fragment IS NOT NULL fragment, struct(k3.goes_on, k3.past, k3.stops, k3.trails) k3, struct(k1.past, k1.stops) k1,
+             {s5} s5, {s3} s3, {s2} s2, {s1} s1
+      FROM tokens t LEFT JOIN lines l USING (last_line) LEFT JOIN limits m ON t.source = m.source AND t.chars = m.top LEFT JOIN fragments f ON f.fragment = t.word
+      LEFT JOIN counts k5 ON k5.key = keys[0] LEFT JOIN counts k3 ON k3.key = keys[1] LEFT JOIN counts k2 ON k2.key = keys[2] LEFT JOIN counts k1 ON k1.key = keys[3]))
 """
 
 
+def _share(k: str) -> str:
+    """Share of a run's occurrences that end a sentence, where there are enough of them."""
+    return f"CASE WHEN {k}.goes_on + {k}.stops >= {{evidence}} THEN {k}.stops / ({k}.goes_on + {k}.stops) END"
+
+
 def judge_truncation(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, cut): whether each text ends inside a word or a sentence, with or without a mark for it.
+    """(doc_id, source, reason, cut): whether each text ends inside a word or a sentence, with or without a mark for it, and by what.
 
-    Counts run over all different texts, so copies of one are no evidence for it. A final tag line, list item, file name, sum, signature or line that many texts share is
-    complete, and so are dots after a phrase that many texts end in, unless the last word is a fragment. A text without
-    a closing sign whose length is the limit of its source's field was cut.
+    Counts run over all different texts, so copies of one are no evidence for it. A final tag line, list item, file name, sum, signature or line that many texts end
+    in more often than its words go on is complete, and so are dots after a phrase that more often trails off than goes on,
+    unless the last word is a fragment. A text without a closing sign whose length is the limit of its source's field was cut.
     Null and empty texts are not cut; repeated texts are each judged and listed; rows without a doc_id
     are left out; an empty table gives no rows; other columns are ignored.
     """
     spark = documents.sparkSession
     docs = documents.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
     names = []
+    often, rarely = GOES_PAST
+    values = {"block": _LAST_BLOCK, "often": often, "rarely": repr(rarely), "closes": repr(CLOSES), **{f"s{n}": _share(f"k{n}") for n in (5, 3, 2, 1)}, "evidence": EVIDENCE}
 
-    def step(name: str, query: str, store: bool = False, **params) -> DataFrame:
-        out = spark.sql(query) if not params else spark.sql(query.replace("{habit}", repr(params["habit"])))
+    def step(name: str, query: str, store: bool = False) -> DataFrame:
+        for key, value in values.items():
+            query = query.replace("{" + key + "}", str(value))
+        out = spark.sql(query)
         out = materialise(out, name) if store else out
         out.createOrReplaceTempView(name)
         names.append(name)
         return out
 
+    def few(name: str, rows: DataFrame) -> None:
+        """A view of a stored table, to be broadcast where it is counted to be small."""
+        (F.broadcast(rows) if rows.count() <= BROADCAST_KEYS else rows).createOrReplaceTempView(name)
+        names.append(name)
+
     docs.createOrReplaceTempView("docs")
     step("bodies", _BODIES)
-    step("split", _TOKENS)
-    tokens = step("tokens", f"SELECT *, concat(runs, array(xxhash64(1, lower(word)))) keys, monotonically_increasing_id() row_id FROM ({_FINALS})", store=True)
-    copies = materialise(spark.sql(_COPIES), "copies")
-    (F.broadcast(copies) if copies.count() <= BROADCAST_KEYS else copies).createOrReplaceTempView("copies")
+    split = step("tokens", f"SELECT *, monotonically_increasing_id() row_id FROM ({_TOKENS})", store=True)
+    few("copies", materialise(spark.sql(_COPIES), "copies"))
     step("texts", _TEXTS)
+    tokens = materialise(spark.sql(f"SELECT *, concat(runs, array(xxhash64(1, word))) keys FROM ({_FINALS})"), "finals")
+    few("wanted", materialise(tokens.select(F.explode("keys").alias("key")).distinct(), "wanted"))
     step("positions", _POSITIONS)
-    habit = HABIT * tokens.select("content").distinct().count()
-    wanted = materialise(spark.table("tokens").select(F.explode("keys").alias("key")).distinct(), "wanted")
-    (F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted).createOrReplaceTempView("wanted")
     step("counts", _COUNTS, store=True)
-    step("lines", _LINES, store=True, habit=habit)
+    texts = spark.sql(_TEXTS)
+    tokens.createOrReplaceTempView("tokens")
+    texts.createOrReplaceTempView("texts")
+    step("fragments", _FRAGMENTS, store=True)
+    step("lines", _LINES, store=True)
     step("limits", _LIMITS, store=True)
-    often, rarely = GOES_PAST
-    verdict = _VERDICT
-    for key, value in (("block", _LAST_BLOCK), ("habit", repr(habit)), ("often", str(often)), ("rarely", repr(rarely)), ("closes", repr(CLOSES))):
-        verdict = verdict.replace("{" + key + "}", value)
-    out = spark.sql(verdict)
-    for name in [*names, "docs", "copies", "wanted"]:
+    out = step("verdict", _VERDICT)
+    for name in [*names, "docs"]:
         spark.catalog.dropTempView(name)
     return out
 
