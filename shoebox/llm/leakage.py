@@ -1,7 +1,8 @@
 """Evaluation texts leaking into training text.
 
-A positional inverted index holds the postings (term, document, position) of the corpus. Every window of consecutive
-test words is looked up by its rarest term only; what that term's postings suggest is confirmed by
+A positional inverted index holds the postings (term, next term, document, position) of the corpus, cut into ranges of terms
+and sorted within them; it is built once and opened again by later calls. Every window of consecutive test words is looked
+up by its rarest term only, together with that term's neighbour; what these postings suggest is confirmed by
 intersecting the offset-adjusted postings of the other words, and runs of agreeing positions are the matches.
 """
 
@@ -11,13 +12,19 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shoebox.scratch import materialise
+from shoebox.scratch import materialise, scratch_path
 
+#: Rows of at most 48 bytes that are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 500_000
+#: Postings of one range of terms.
+ROWS_PER_RANGE = 4_000_000
+_POSTING = "term bigint, next bigint, doc bigint, pos int, range int"
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -33,16 +40,30 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def _spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, pos, term, next) of every word; a term is a 64-bit hash of the word, the last word of a text has no next."""
     for batch in batches:
-        yield pd.DataFrame({"id": batch["id"], "words": [" ".join(words(t)) for t in batch["text"]]})
+        found = [words(t) for t in batch.column("text").to_pylist()]
+        sizes = np.array([len(f) for f in found])
+        flat = np.array([w for f in found for w in f], dtype=object)
+        if not len(flat):
+            continue
+        codes, names = pd.factorize(flat)
+        terms = pd.util.hash_array(names, categorize=False).view(np.int64)[codes]
+        last = np.cumsum(sizes)[sizes > 0] - 1
+        following, end = np.append(terms[1:], 0), np.zeros(len(terms), bool)
+        end[last] = True
+        ids = np.repeat(batch.column("id").to_numpy(), sizes)
+        pos = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        columns = [pa.array(ids, pa.int64()), pa.array(pos, pa.int32()), pa.array(terms, pa.int64()), pa.array(following, pa.int64(), mask=end)]
+        for at in range(0, len(flat), 100_000):
+            yield pa.RecordBatch.from_arrays([c.slice(at, 100_000) for c in columns], ["id", "pos", "term", "next"])
 
 
 def term_positions(texts: DataFrame, id_: str, text: str) -> DataFrame:
-    """(id, pos, term): every word of every text; the term is the 64-bit hash of the word."""
+    """(id, pos, term, next): every word of every text and the word after it."""
     src = texts.select(F.col(id_).cast("bigint").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
-    spelled = src.mapInPandas(_spell, "id long, words string").where("words <> ''")
-    return spelled.select("id", F.posexplode(F.split("words", " ")).alias("pos", "word")).select("id", "pos", F.xxhash64("word").alias("term"))
+    return src.mapInArrow(_post, "id long, pos int, term long, next long")
 
 
 def _few(df: DataFrame, rows: int) -> DataFrame:
@@ -51,72 +72,118 @@ def _few(df: DataFrame, rows: int) -> DataFrame:
 
 
 class PositionalIndex:
-    """Postings of a corpus, stored sorted by term so that a lookup reads few row groups."""
+    """Postings of a corpus below ``path``, in ranges of terms; a path that holds an index already is opened, not built again.
 
-    def __init__(self, corpus: DataFrame, id_: str = "doc_id", text: str = "text", terms: DataFrame | None = None):
-        """With ``terms`` only their postings are kept: no other word can take part in a match with texts of these terms."""
-        found = term_positions(corpus, id_, text).withColumnRenamed("id", "doc")
-        if terms is not None:
-            found = found.join(_few(terms, terms.count()), "term")
-        self.postings = materialise(found.select("term", "doc", "pos"), "postings", sort_by=["term", "doc", "pos"])
-        self.frequency = materialise(self.postings.groupBy("term").agg(F.count("*").alias("df")), "frequency")
+    Only ranges in which an asked term falls are read.
+    """
+
+    def __init__(self, corpus: DataFrame | None, id_: str = "doc_id", text: str = "text", path: str | None = None, spark: SparkSession | None = None):
+        self.spark = spark or corpus.sparkSession
+        self.path = path or scratch_path(self.spark, "postings")
+        kept = self._kept()
+        if kept is None:
+            found = term_positions(corpus, id_, text).withColumnRenamed("id", "doc")
+            # About six characters a word; the figure shapes the files only.
+            rows = (corpus.agg(F.sum(F.length(text).cast("bigint"))).first()[0] or 0) // 6
+            kept = min(12, (rows // ROWS_PER_RANGE).bit_length())
+            parts = max(1, rows // (ROWS_PER_RANGE // 4))
+            ranged = found.withColumn("range", F.shiftrightunsigned("term", 64 - kept).cast("int") if kept else F.lit(0))
+            # A range goes to several tasks by document, so a term that stands everywhere is spread.
+            dealt = ranged.repartition(parts, "range", F.pmod(F.xxhash64("doc"), F.lit(max(1, parts >> kept)))).sortWithinPartitions("range", "term", "next", "doc", "pos")
+            dealt.write.mode("overwrite").option("compression", "zstd").partitionBy("range").parquet(f"{self.path}/bits-{kept}")
+        self.bits = kept
+
+    def _kept(self) -> int | None:
+        """Range bits of a complete index at the path."""
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+        return next((int(n[5:]) for n in names if n.startswith("bits-") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))), None)
+
+    def postings(self, asked: DataFrame) -> DataFrame:
+        """(term, next, doc, pos) of the ranges that the asked terms fall into; at most 4096 range numbers come to the driver."""
+        found = self.spark.read.schema(_POSTING).parquet(f"{self.path}/bits-{self.bits}")
+        if self.bits:
+            touched = [r[0] for r in asked.select(F.shiftrightunsigned("term", 64 - self.bits).cast("int").alias("r")).distinct().collect()]
+            found = found.where(F.col("range").isin(touched)) if len(touched) < 1 << self.bits else found
+        return found.drop("range")
 
 
 def _item_terms(items: DataFrame, id_: str, text: str) -> DataFrame:
     return materialise(term_positions(items, id_, text).withColumnRenamed("id", "item").withColumnRenamed("pos", "at").distinct(), "items")
 
 
-def _alignments(index: PositionalIndex, terms: DataFrame, n: int) -> DataFrame:
-    """(doc, item, shift): where the rarest term of some window of ``n`` test words stands ``shift`` words later in the corpus."""
+def _anchors(index: PositionalIndex, terms: DataFrame, n: int) -> DataFrame:
+    """(item, term, next, at): the rarest term of each window of ``n`` test words, and the word after it.
+
+    Where the rarest term is the last of its window the word before it is taken, so both always lie in the window.
+    """
+    asked = materialise(terms.select("term").distinct(), "terms")
+    held = index.postings(asked).select("term").join(_few(asked, asked.count()), "term", "left_semi")
+    frequency = held.groupBy("term").agg(F.count("*").alias("df"))
     own = Window.partitionBy("item").orderBy("at")
     window = own.rowsBetween(0, n - 1)
-    known = terms.join(index.frequency, "term", "left")
-    rated = known.select("item", "at", "term", F.coalesce("df", F.lit(0)).alias("df"))
+    rated = terms.join(frequency, "term", "left").select("item", "at", "term", "next", F.coalesce("df", F.lit(0)).alias("df"))
     rare = F.min(F.struct("df", "term", "at")).over(window)
-    anchors = rated.withColumn("rare", rare).withColumn("size", F.count("*").over(window)).where((F.col("size") == n) & (F.col("rare.df") > 0))
-    anchors = materialise(anchors.select("item", "rare.term", "rare.at").distinct(), "anchors")
-    found = index.postings.join(_few(anchors, anchors.count()), "term")
-    return found.select("doc", "item", (F.col("pos") - F.col("at")).alias("shift")).distinct()
+    found = rated.withColumn("rare", rare).withColumn("size", F.count("*").over(window)).withColumn("end", F.max("at").over(window))
+    found = found.where((F.col("size") == n) & (F.col("rare.df") > 0))
+    place = F.when((F.col("rare.at") == F.col("end")) & (n > 1), F.col("rare.at") - 1).otherwise(F.col("rare.at"))
+    found = found.select("item", F.col("rare.at").alias("rarest"), place.alias("at")).distinct()
+    return materialise(found.join(terms, ["item", "at"]).select("item", "rarest", "at", "term", "next"), "anchors")
 
 
-def _confirmed(index: PositionalIndex, terms: DataFrame, aligned: DataFrame, slop: int) -> DataFrame:
-    """(doc, item, shift, at): item positions whose word stands at its place in the document, or up to ``slop`` words off."""
-    docs = materialise(aligned.select("doc").distinct(), "docs")
-    kept = index.postings.join(_few(docs, docs.count()), "doc", "left_semi")
-    off = F.explode(F.array(*[F.lit(i) for i in range(-slop, slop + 1)])) if slop else F.lit(0)
-    due = aligned.join(_few(terms, terms.count()), "item").select("doc", "item", "shift", "at", "term", off.alias("off"))
-    due = due.select("doc", "item", "shift", "at", "term", (F.col("shift") + F.col("at") + F.col("off")).alias("pos"))
-    return due.join(kept, ["doc", "pos", "term"]).select("doc", "item", "shift", "at").distinct()
+def _confirmed(index: PositionalIndex, terms: DataFrame, aligned: DataFrame) -> DataFrame:
+    """(doc, item, shift, at): item positions whose word stands at its place in the document."""
+    due = aligned.join(_few(terms, terms.count()), "item").select("doc", "item", "shift", "at", "term", (F.col("shift") + F.col("at")).alias("pos"))
+    due = materialise(due, "due")
+    have = index.postings(due).select("doc", "pos", "term")
+    return have.join(_few(due, due.count()), ["doc", "pos", "term"]).select("doc", "item", "shift", "at").distinct()
 
 
-def _index_for(corpus: DataFrame, items: DataFrame, id_: str, text: str, item_id: str, item_text: str) -> tuple[PositionalIndex, DataFrame]:
-    terms = _item_terms(items, item_id, item_text)
-    return PositionalIndex(corpus, id_, text, materialise(terms.select("term").distinct(), "terms")), terms
-
-
-def leaked_passages(corpus: DataFrame, items: DataFrame, n: int = 12, id_: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def leaked_passages(corpus: DataFrame, items: DataFrame, n: int = 12, id_: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", index: PositionalIndex | None = None) -> DataFrame:
     """(doc_id, item_id, n_words): documents with at least ``n`` consecutive words of an item, nothing between; the longest run.
 
     Items of fewer than ``n`` words match nothing. Null and empty texts, null ids and empty tables give no rows; an
-    item or document that occurs repeatedly under one id counts once; other columns are ignored.
+    item or document that occurs repeatedly under one id counts once; other columns are ignored. ``index`` is one of the corpus
+    that was built before.
     """
-    index, terms = _index_for(corpus, items, id_, text, item_id, item_text)
-    aligned = materialise(_alignments(index, terms, n), "aligned")
-    hits = _confirmed(index, terms, aligned, 0)
+    index = index or PositionalIndex(corpus, id_, text)
+    terms = _item_terms(items, item_id, item_text)
+    anchors = _anchors(index, terms, n)
+    pair = [F.col("p.term") == F.col("a.term"), F.col("p.next") == F.col("a.next")] if n > 1 else [F.col("p.term") == F.col("a.term")]
+    found = index.postings(anchors).alias("p").join(_few(anchors, anchors.count()).alias("a"), pair)
+    aligned = materialise(found.select("doc", "item", (F.col("pos") - F.col("at")).alias("shift")).distinct(), "aligned")
+    hits = _confirmed(index, terms, aligned)
     w = Window.partitionBy("doc", "item", "shift").orderBy("at")
     runs = hits.withColumn("run", F.col("at") - F.row_number().over(w)).groupBy("doc", "item", "shift", "run").agg(F.count("*").alias("n_words"))
     long = runs.where(F.col("n_words") >= n).groupBy("doc", "item").agg(F.max("n_words").alias("n_words"))
     return long.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "n_words")
 
 
-def close_passages(corpus: DataFrame, items: DataFrame, n: int = 12, slop: int = 3, id_: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id, n_words): proximity matches, at least ``n`` different words of an item near one place in a document.
+def close_passages(corpus: DataFrame, items: DataFrame, n: int = 12, slop: int = 3, id_: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", index: PositionalIndex | None = None) -> DataFrame:
+    """(doc_id, item_id, n_words): proximity matches, at least ``n`` words of an item near one place in a document.
 
     Near means that each word stands at its place relative to the rarest term of some window of ``n``, or up
-    to ``slop`` words off, so insertions, omissions and swaps of a few words are met.
+    to ``slop`` words off, so insertions, omissions and swaps of a few words are met. Rows as in :func:`leaked_passages`.
     """
-    index, terms = _index_for(corpus, items, id_, text, item_id, item_text)
-    aligned = materialise(_alignments(index, terms, n), "aligned")
-    hits = _confirmed(index, terms, aligned, slop).groupBy("doc", "item", "shift").agg(F.count("*").alias("n_words"))
-    out = hits.where(F.col("n_words") >= n).groupBy("doc", "item").agg(F.max("n_words").alias("n_words"))
+    index = index or PositionalIndex(corpus, id_, text)
+    terms = _item_terms(items, item_id, item_text)
+    rarest = _anchors(index, terms, n).select("item", F.col("rarest").alias("at")).distinct().join(terms.select("item", "at", "term"), ["item", "at"])
+    rarest = materialise(rarest, "rarest")
+    # A posting near the anchor counts for its item place; of an item only the words within reach of each other are asked.
+    found = index.postings(rarest).join(_few(rarest, rarest.count()), "term")
+    aligned = materialise(found.select("doc", "item", (F.col("pos") - F.col("at")).alias("shift")).distinct(), "aligned")
+    docs = materialise(aligned.select("doc").distinct(), "docs")
+    asked = materialise(terms.select("term").distinct(), "terms")
+    kept = index.postings(asked).join(_few(asked, asked.count()), "term", "left_semi").join(_few(docs, docs.count()), "doc", "left_semi")
+    held = kept.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("pos", "term"))).alias("words"))
+    wanted = terms.groupBy("item").agg(F.array_sort(F.collect_set(F.struct("at", "term"))).alias("item_words"))
+    lead = F.struct((F.col("shift") - slop).alias("pos"))
+    met = aligned.join(held, "doc").join(F.broadcast(wanted) if terms.count() <= BROADCAST_ROWS else wanted, "item")
+    last = F.element_at("item_words", -1)["at"]
+    near = met.select("doc", "item", "shift", "item_words", F.filter("words", lambda w: (w["pos"] >= lead["pos"]) & (w["pos"] <= F.col("shift") + last + slop)).alias("words"))
+    near = near.where(F.size("words") >= n)
+    hit = F.filter("item_words", lambda i: F.exists("words", lambda w: (w["term"] == i["term"]) & (F.abs(w["pos"] - F.col("shift") - i["at"]) <= slop)))
+    out = near.select("doc", "item", F.size(hit).cast("bigint").alias("n_words")).where(F.col("n_words") >= n).groupBy("doc", "item").agg(F.max("n_words").alias("n_words"))
     return out.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "n_words")

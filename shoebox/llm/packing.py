@@ -89,6 +89,32 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
+_PIECE = "pack_no long, doc_id long, piece_no long, first_token long, n_tokens long"
+
+
+def _pack(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
+    """Pieces of the counted texts of one shard, packs numbered from the shard on."""
+    rows = rows.sort_values(["n_tokens", "doc_id"], ascending=[False, True], kind="stable")
+    doc, size = rows["doc_id"].to_numpy(np.int64), rows["n_tokens"].to_numpy(np.int64)
+    whole = np.where(size > capacity, (size - 1) // capacity, 0)
+    rest = size - whole * capacity
+    last = sum_of_squares(rest, capacity) + int(whole.sum())
+    full = np.repeat(np.arange(len(doc)), whole)
+    piece = np.arange(len(full)) - np.repeat(np.cumsum(whole) - whole, whole)
+    out = pd.DataFrame({
+        "pack": np.concatenate([np.arange(len(full)), last]), "doc_id": np.concatenate([doc[full], doc]), "piece_no": np.concatenate([piece, whole]),
+        "first_token": np.concatenate([piece * capacity, whole * capacity]), "n_tokens": np.concatenate([np.full(len(full), capacity), rest]),
+    })
+    out["pack_no"] = out.pop("pack") + (int(rows["shard"].iloc[0]) << 32)
+    return out[["pack_no", "doc_id", "piece_no", "first_token", "n_tokens"]]
+
+
+def _dealt(texts: DataFrame, id_: str, text: str, path: str | None, shard_texts: int) -> tuple[DataFrame, int]:
+    counted = materialise(token_counts(texts, id_, text, path), "tokens")
+    shards = max(1, -(-counted.count() // shard_texts))
+    return counted.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(shards)).cast("int")), shards
+
+
 def pack_texts(texts: DataFrame, capacity: int, id_: str = "doc_id", text: str = "text", path: str | None = None, shard_texts: int = SHARD_TEXTS) -> DataFrame:
     """(pack_no, doc_id, piece_no, first_token, n_tokens): every text in packs of ``capacity`` tokens.
 
@@ -96,25 +122,25 @@ def pack_texts(texts: DataFrame, capacity: int, id_: str = "doc_id", text: str =
     divided. A null or empty text is a piece of no tokens in some pack. Every row is packed, repeated ones too;
     rows without an id are left out; an empty table gives no rows. ``path`` names the tokenizer's vocabulary file.
     """
-    if capacity < 1:
+    return pack_sizes(texts, {0: capacity}, id_, text, path, shard_texts).drop("pack_id")
+
+
+def pack_sizes(texts: DataFrame, capacities: dict[int, int], id_: str = "doc_id", text: str = "text", path: str | None = None, shard_texts: int = SHARD_TEXTS) -> DataFrame:
+    """(pack_id, pack_no, ...): the texts packed once for each of a few capacities (by pack_id), tokens counted once.
+
+    Otherwise as :func:`pack_texts`; each pair of shard and capacity is a task of its own.
+    """
+    if min(capacities.values(), default=1) < 1:
         raise ValueError("a pack holds at least one token")
-    counted = materialise(token_counts(texts, id_, text, path), "tokens")
-    shards = max(1, -(-counted.count() // shard_texts))
-    dealt = counted.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(shards)).cast("int"))
+    dealt, shards = _dealt(texts, id_, text, path, shard_texts)
+    each = dealt.withColumn("pack_id", F.explode(F.array(*[F.lit(i).cast("bigint") for i in capacities]))) if capacities else dealt.withColumn("pack_id", F.lit(0).cast("bigint")).limit(0)
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["n_tokens", "doc_id"], ascending=[False, True], kind="stable")
-        doc, size = rows["doc_id"].to_numpy(np.int64), rows["n_tokens"].to_numpy(np.int64)
-        whole = np.where(size > capacity, (size - 1) // capacity, 0)
-        rest = size - whole * capacity
-        last = sum_of_squares(rest, capacity) + int(whole.sum())
-        full = np.repeat(np.arange(len(doc)), whole)
-        piece = np.arange(len(full)) - np.repeat(np.cumsum(whole) - whole, whole)
-        out = pd.DataFrame({
-            "pack": np.concatenate([np.arange(len(full)), last]), "doc_id": np.concatenate([doc[full], doc]), "piece_no": np.concatenate([piece, whole]),
-            "first_token": np.concatenate([piece * capacity, whole * capacity]), "n_tokens": np.concatenate([np.full(len(full), capacity), rest]),
-        })
-        out["pack_no"] = out.pop("pack") + (int(rows["shard"].iloc[0]) << 32)
-        return out[["pack_no", "doc_id", "piece_no", "first_token", "n_tokens"]]
-
-    return dealt.groupBy("shard").applyInPandas(pack, "pack_no long, doc_id long, piece_no long, first_token long, n_tokens long")
+        at = int(rows["pack_id"].iloc[0])
+        out = _pack(rows, capacities[at])
+        out.insert(0, "pack_id", at)
+        return out
+
+    # A fixed number of tasks, as few bytes would else be put into one.
+    tasks = each.repartition(2 * shards * max(1, len(capacities)), "pack_id", "shard")
+    return tasks.groupBy("pack_id", "shard").applyInPandas(pack, "pack_id long, " + _PIECE)

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from shoebox.llm.clusters import cluster_vectors, describe_clusters
 from shoebox.llm.components import consolidate
 from shoebox.llm.history import screen_batches
-from shoebox.llm.leakage import leaked_passages
+from shoebox.llm.leakage import close_passages, leaked_passages
 from shoebox.llm.neighbours import nearest, similar_pairs
-from shoebox.llm.packing import pack_texts
+from shoebox.llm.packing import pack_sizes
 from shoebox.llm.runs import collapse_runs
 from shoebox.llm.sql import ORACLES
 from shoebox.llm.truncation import cut_documents, truncation_by_source
@@ -57,15 +57,20 @@ def p7_faces(spark, d):
 
 
 def p8_packs(spark, d):
-    """Packs of the size labelled l."""
-    capacity = table(spark, d, "pack_sizes").where("label = 'l'").first()["capacity_tokens"]
-    return pack_texts(table(spark, d, "documents"), capacity)
+    """Packs of every size of pack_sizes."""
+    sizes = {r["pack_id"]: r["capacity_tokens"] for r in table(spark, d, "pack_sizes").where("capacity_tokens > 0").collect()}
+    return pack_sizes(table(spark, d, "documents"), sizes)
 
 
 def p9_found(spark, d):
     return leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
+def p9_close(spark, d):
+    """Proximity matches: at least 12 words of an item, each up to 3 words off its place."""
+    return close_passages(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p10_found(spark, d):
     return cut_documents(table(spark, d, "documents"))
 
@@ -74,4 +79,4 @@ def p10_sources(spark, d):
     return truncation_by_source(table(spark, d, "documents"))
 
 
-QUERIES = {"p8_packs": p8_packs, "p9_found": p9_found, "p10_found": p10_found, "p10_sources": p10_sources, "p1_found": p1_found, "p1_clusters": p1_clusters, "p7_found": p7_found, "p7_faces": p7_faces, "p3_found": p3_found, "p4_found": p4_found, "p4_runs": p4_runs, "p6_found": p6_found}
+QUERIES = {"p8_packs": p8_packs, "p9_found": p9_found, "p9_close": p9_close, "p10_found": p10_found, "p10_sources": p10_sources, "p1_found": p1_found, "p1_clusters": p1_clusters, "p7_found": p7_found, "p7_faces": p7_faces, "p3_found": p3_found, "p4_found": p4_found, "p4_runs": p4_runs, "p6_found": p6_found}
