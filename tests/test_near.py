@@ -2,7 +2,7 @@ import math
 import random
 
 from shoebox.functions.geo import EARTH_RADIUS_M, unwrapped_ring
-from shoebox.operators.near import inside_places, located, near_and_inside, near_pairs
+from shoebox.operators.near import covered_cells, inside_places, located, near_and_inside, near_pairs
 
 POINT = "id long, gps_lat double, gps_lon double"
 PLACE = "place_id long, ring_lat array<double>, ring_lon array<double>"
@@ -48,3 +48,26 @@ def test_ring_of_either_direction_is_the_same():
     b = unwrapped_ring([0, 1, 0, 0], [179, 180, -179, 179])
     assert {(x, y % 360) for x, y in a} == {(x, y % 360) for x, y in b}
     assert unwrapped_ring([0, 1], [0, 1]) is None
+
+
+def test_ring_of_many_corners_is_cut_to_its_cells(spark):
+    """A star-like ring of 5 000 corners over a hundred degrees, against the crossing number over all its edges."""
+    n, rnd = 5000, random.Random(5)
+    turn = [2 * math.pi * i / n for i in range(n)]
+    reach = [40 + 8 * math.sin(9 * t) + rnd.uniform(-0.3, 0.3) for t in turn]
+    lat, lon = [r * math.sin(t) for r, t in zip(reach, turn)], [150 + r * math.cos(t) for r, t in zip(reach, turn)]
+    wrapped = [(x + 180) % 360 - 180 for x in lon]
+    cover = covered_cells(spark.createDataFrame([(1, lat, wrapped)], PLACE)).selectExpr("count(*) n", "sum(size(edges)) edges", "max(size(edges)) most").first()
+    assert cover["n"] > 5000 and cover["edges"] < 200_000 and cover["most"] < 1000
+    points = [(i, rnd.uniform(-60, 60), rnd.uniform(90, 210)) for i in range(3000)] + [(3000 + i, float(rnd.randint(-50, 50)), float(rnd.randint(100, 200))) for i in range(500)]
+
+    def inside(p, x):
+        odd = False
+        for i in range(n):
+            (a1, o1), (a2, o2) = (lat[i], lon[i]), (lat[(i + 1) % n], lon[(i + 1) % n])
+            if (a1 > p) != (a2 > p) and x < o1 + (p - a1) / (a2 - a1) * (o2 - o1):
+                odd = not odd
+        return odd
+
+    df = spark.createDataFrame([(i, p, (x + 180) % 360 - 180) for i, p, x in points], "id long, lat double, lon double")
+    assert {r["id"] for r in inside_places(df, spark.createDataFrame([(1, lat, wrapped)], PLACE)).collect()} == {i for i, p, x in points if inside(p, x)}
