@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoebox.config import DEFAULT, EngineConfig
 from shoebox.functions.hashes import checksum, phash64
 from shoebox.functions.media import date_text_rank
 from shoebox.functions.names import COPY_MARK, looks_copied
@@ -89,7 +92,9 @@ def video_overlaps(frames: DataFrame, videos: DataFrame, max_distance: int = 8,
     """(a, b, overlap): videos of which at least a share ``least`` of the shorter one's frames has a close frame in the other.
 
     The shorter is the one of fewer frames, the smaller id where both have as many. Close frames are found among
-    distinct hashes by the pigeonhole join; frame counts of equal hashes are carried along.
+    distinct hashes by the pigeonhole join. Two videos can only share that much if they share one of the shorter one's
+    rarest frames, all but the share that may be missing; only those propose pairs, so a frame that all videos have proposes none
+    unless a video has little else. Proposed pairs are then counted over all frames.
     """
     f = frames.select(F.col("file_id").alias("id"), phash64(F.col("phash")).alias("h")).where("h is not null and id is not null").join(videos.select("id"), "id", "left_semi")
     uses = materialise(f.groupBy("id", "h").agg(F.count("*").alias("n")), "uses")
@@ -97,9 +102,18 @@ def video_overlaps(frames: DataFrame, videos: DataFrame, max_distance: int = 8,
     hashes = materialise(uses.select("h").distinct(), "hashes")
     met = hamming_join(hashes, hashes, max_distance, same=True).select("h_a", "h_b")
     met = met.unionByName(met.select(F.col("h_b").alias("h_a"), F.col("h_a").alias("h_b"))).unionByName(hashes.select(F.col("h").alias("h_a"), F.col("h").alias("h_b")))
-    side = lambda s: uses.join(lengths, "id").select(*[F.col(c).alias(f"{c}_{s}") for c in ("id", "h", "n", "len")])
-    pairs = side("a").join(met, "h_a").join(side("b"), "h_b").where("id_a <> id_b and (len_a < len_b or len_a = len_b and id_a < id_b)")
+    met = materialise(met, "met")
+    # Uses of the frames close to each frame: an upper bound of the pairs it proposes.
+    common = met.join(uses.groupBy(F.col("h").alias("h_b")).agg(F.count("*").alias("uses")), "h_b").groupBy(F.col("h_a").alias("h")).agg(F.sum("uses").alias("df"))
+    order = Window.partitionBy("id").orderBy("df", "h")
+    ranked = uses.join(lengths, "id").join(common, "h").withColumn("before", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+    ranked = materialise(ranked, "ranked")
+    side = lambda d, s: d.select(*[F.col(c).alias(f"{c}_{s}") for c in ("id", "h", "n", "len")])
+    shorter = (F.col("id_a") != F.col("id_b")) & ((F.col("len_a") < F.col("len_b")) | (F.col("len_a") == F.col("len_b")) & (F.col("id_a") < F.col("id_b")))
+    rare = side(ranked.where(F.col("before") <= F.col("len") - F.ceil(F.col("len") * least)), "a")
+    proposed = rare.join(met, "h_a").join(side(ranked, "b"), "h_b").where(shorter).select("id_a", "id_b").distinct()
     # Each frame of the shorter one counts once, however many close frames the longer one has.
+    pairs = proposed.join(side(ranked, "a"), "id_a").join(met, "h_a").join(side(ranked, "b").select("id_b", "h_b"), ["id_b", "h_b"])
     shared = pairs.select("id_a", "id_b", "h_a", "n_a", "len_a").distinct().groupBy("id_a", "id_b", "len_a").agg(F.sum("n_a").alias("same"))
     out = shared.withColumn("overlap", F.col("same") / F.col("len_a")).where(F.col("overlap") >= least)
     return out.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "overlap")
@@ -112,10 +126,21 @@ def video_groups(files: DataFrame, frames: DataFrame, exact: DataFrame, max_dist
     return _described(rank_members(videos.join(members, "id"), "group_id", compat), "video")
 
 
-def all_groups(files: DataFrame, frames: DataFrame, compat: bool = False) -> DataFrame:
-    """Exact, near and video groups together; the ids of a kind's groups are file ids, so (kind, group_id) is the key."""
+def all_groups(files: DataFrame, frames: DataFrame, compat: bool = False, kind: str | None = None, config: EngineConfig = DEFAULT) -> DataFrame:
+    """Exact, near and video groups together, or those of one kind; the ids of a kind's groups are file ids, so (kind, group_id) is the key.
+
+    Only what the kind needs is computed.
+    """
     exact = materialise(exact_groups(files, compat), "exact")
-    return exact.unionByName(near_groups(files, exact, compat=compat)).unionByName(video_groups(files, frames, exact, compat=compat))
+    makers = {
+        "exact": lambda: exact,
+        "near": lambda: near_groups(files, exact, config.phash_distance, compat),
+        "video": lambda: video_groups(files, frames, exact, config.frame_distance, config.video_overlap, compat),
+    }
+    if kind is not None and kind not in makers:
+        raise ValueError(f"no such kind of group: {kind}")
+    found = [make() for name, make in makers.items() if kind in (None, name)]
+    return reduce(DataFrame.unionByName, found)
 
 
 def explain_groups(groups: DataFrame, files: DataFrame) -> DataFrame:

@@ -61,9 +61,10 @@ def required(rows: DataFrame, what: str) -> DataFrame:
 
 
 def keyword_search(files: DataFrame, labels: DataFrame, text: str) -> DataFrame:
-    """Live files with the text in their name or in one of their labels."""
+    """Live files with the text in their name, in their summary (where the files have one) or in one of their labels."""
     labelled = labels.where(contains_text(F.col("label"), text)).select(F.col("file_id").alias("id"), F.lit(True).alias("_hit")).distinct()
-    return files.where("status <> 'trashed'").join(labelled, "id", "left").where(contains_text(F.col("name"), text) | F.col("_hit")).drop("_hit")
+    said = contains_text(F.concat_ws("\n", *[c for c in ("name", "summary") if c in files.columns]), text)
+    return files.where("status <> 'trashed'").join(labelled, "id", "left").where(F.coalesce(said, F.lit(False)) | F.col("_hit")).drop("_hit")
 
 
 def folder_files(files: DataFrame, folder: str) -> DataFrame:

@@ -44,7 +44,9 @@ def search(text: str, files: DataFrame, faces: DataFrame, persons: DataFrame, la
     alive = files.where("status <> 'trashed'")
     if not text.strip():
         return alive.select(*RESULT, F.lit(0.0).alias("score")).limit(0)
-    wanted, year, rest = parse_query(text, [(r["id"], r["name"]) for r in persons.orderBy("id").select("id", "name").toLocalIterator()])
+    # Only persons whose name occurs in the text come to the driver.
+    named = persons.where((F.col("name") != "") & F.contains(F.lower(F.lit(text)), F.lower("name"))).orderBy("id").select("id", "name").collect()
+    wanted, year, rest = parse_query(text, [(r["id"], r["name"]) for r in named])
     narrowed = with_persons(alive, faces, wanted) if wanted else alive
     if year:
         narrowed = narrowed.where(year_text(narrowed) == str(year))

@@ -9,21 +9,25 @@ from shoebox.functions.names import FOLDER_ID, safe_name
 from shoebox.scratch import materialise
 
 
-def walk(nodes: DataFrame, roots: DataFrame, most_levels: int = 64) -> DataFrame:
-    """(id, depth, path): everything below ``roots`` (id), level by level; ``nodes`` has id, parent, name.
+def walk(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, depth, path): everything below ``roots`` (id), level by level to any depth; ``nodes`` has id, parent, name.
 
-    One equi-join a level; paths are made of safe names. Trees deeper than ``most_levels`` (or cycles) raise.
+    One equi-join a level; paths are made of safe names. A folder below itself is an error.
     """
     named = nodes.select("id", "parent", safe_name(F.col("name")).alias("name"))
-    level = materialise(named.join(roots.select("id"), "id", "left_semi").select("id", F.lit(0).cast("bigint").alias("depth"), F.col("name").alias("path")), "level")
+    level = named.join(roots.select("id"), "id", "left_semi").select("id", F.lit(0).cast("bigint").alias("depth"), F.col("name").alias("path"), F.array("id").alias("trail"))
+    level = materialise(level, "level")
     out = level
-    for _ in range(most_levels):
-        up = level.select(F.col("id").alias("parent"), "depth", "path")
-        level = materialise(named.join(up, "parent").select("id", (F.col("depth") + 1).alias("depth"), F.concat("path", F.lit("/"), "name").alias("path")), "level")
+    while True:
+        up = level.select(F.col("id").alias("parent"), "depth", "path", "trail")
+        below = named.join(up, "parent").select("id", (F.col("depth") + 1).alias("depth"), F.concat("path", F.lit("/"), "name").alias("path"), "trail")
+        level = materialise(below.withColumns({"circle": F.array_contains("trail", F.col("id")), "trail": F.concat("trail", F.array("id"))}), "level")
         if level.isEmpty():
-            return out
+            return out.drop("trail")
+        if not level.where("circle").isEmpty():
+            raise ValueError("a folder is below itself")
+        level = level.drop("circle")
         out = out.unionByName(level)
-    raise ValueError("the folders are nested too deep or in a circle")
 
 
 def resolve_folder(nodes: DataFrame, ref: str):

@@ -30,33 +30,47 @@ def centroids(rows: DataFrame, key: str, vec: str = "vec", dim: int = 128) -> Da
     return means.select(key, unit(F.array(*[F.col(f"_{i}") for i in range(dim)])).alias("centroid")).where("centroid is not null")
 
 
-def best_match(rows: DataFrame, side: DataFrame, dim: int) -> DataFrame:
+def _best_of(x: np.ndarray, keys: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Key and similarity of the most similar of ``m`` (in the order of its keys) for each row."""
+    s = (x @ m.T).round(9)
+    at = s.argmax(1)
+    return keys[at], s[np.arange(len(s)), at]
+
+
+def best_match(rows: DataFrame, side: DataFrame, dim: int, most: int = BROADCAST_VECTORS) -> DataFrame:
     """(id, key, similarity): for each row (id, vec) the most similar of ``side`` (key, vec); ties go to the smaller key.
 
-    The side is a stated set of queries, sent to the tasks as matrices of at most ``BROADCAST_VECTORS`` rows; a larger side takes
-    several passes whose best answers are compared, so its size has no bound.
+    A counted side of at most ``most`` vectors is sent to every task as one matrix. A larger one is cut into tiles, as
+    are the rows; each pair of tiles is a task of bounded size and the best answers of a row are compared.
     """
     u = units(rows.select("id", "vec"), dim)
     side = materialise(units(side.select("key", "vec"), dim), "side")
-    passes = max(1, -(-side.count() // BROADCAST_VECTORS))
-    found = None
-    for i in range(passes):
-        held = side.where(F.pmod(F.xxhash64("key", "vec"), F.lit(passes)) == i).orderBy("key").collect()
-        keys = np.array([r["key"] for r in held], np.int64)
-        m = np.array([r["vec"] for r in held], np.float64).reshape(-1, dim)
-
-        def match(batches: Iterator[pd.DataFrame], keys=keys, m=m) -> Iterator[pd.DataFrame]:
+    size, schema = side.count(), "id long, key long, similarity double"
+    if size <= most:
+        held = side.orderBy("key").toArrow()
+        keys = held.column("key").to_numpy()
+        m = np.array(held.column("vec").to_pylist(), np.float64).reshape(-1, dim)
+
+        def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                if not len(batch) or not len(keys):
-                    continue
-                s = (np.stack(batch["vec"].to_list()) @ m.T).round(9)
-                at = s.argmax(1)
-                yield pd.DataFrame({"id": batch["id"], "key": keys[at], "similarity": s[np.arange(len(s)), at]})
-
-        part = u.mapInPandas(match, "id long, key long, similarity double")
-        found = part if found is None else found.unionByName(part)
-    if passes == 1:
-        return found
+                if len(batch) and len(keys):
+                    key, similarity = _best_of(np.stack(batch["vec"].to_list()), keys, m)
+                    yield pd.DataFrame({"id": batch["id"], "key": key, "similarity": similarity})
+
+        return u.mapInPandas(match, schema)
+    u = materialise(u, "rows")
+    tiles, parts = -(-size // most), max(1, -(-u.count() // most))
+    deal = lambda d, c, own, n, other, k: d.withColumn(own, F.pmod(F.xxhash64(c, "vec"), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"id": [], "key": [], "similarity": []})
+        b = b.sort_values("key")
+        key, similarity = _best_of(np.stack(a["vec"].to_list()), b["key"].to_numpy(), np.stack(b["vec"].to_list()))
+        return pd.DataFrame({"id": a["id"].to_numpy(), "key": key, "similarity": similarity})
+
+    mine, theirs = deal(u, "id", "part", parts, "tile", tiles), deal(side, "key", "tile", tiles, "part", parts)
+    found = mine.groupBy("part", "tile").cogroup(theirs.groupBy("part", "tile")).applyInPandas(meet, schema)
     best = found.groupBy("id").agg(F.max(F.struct("similarity", (-F.col("key")).alias("k"))).alias("b"))
     return best.select("id", (-F.col("b.k")).alias("key"), "b.similarity")
 
@@ -83,6 +97,22 @@ def strangers(files: DataFrame, faces: DataFrame, keep_persons: list[int], keep_
     return out.where("not known").drop("known")
 
 
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Add ``name``: 1, 2, ... in an order without ties, without gathering the rows in one task.
+
+    Rows are cut into sorted ranges; the counts of the ranges before, one number a range, are added up on the driver.
+    """
+    part = F.spark_partition_id()
+    ranged = materialise(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("*", part.alias("_part"), F.monotonically_increasing_id().alias("_at")), "ranges")
+    counts = {r["_part"]: r["count"] for r in ranged.groupBy("_part").count().collect()}
+    before, total = [], 0
+    for i in range(max(counts, default=-1) + 1):
+        before.append(total)
+        total += counts.get(i, 0)
+    start = F.get(F.expr("array(" + ", ".join(f"{b}L" for b in before or [0]) + ")"), F.col("_part"))
+    return ranged.withColumn(name, start + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_part", "_at")
+
+
 def top_k(rows: DataFrame, query: list[float], k: int, id_: str = "id", vec: str = "vec", least: float | None = None) -> DataFrame:
     """The k rows most similar to one query vector, best first; ties go to the smaller id."""
     q = np.asarray(query, dtype=float)

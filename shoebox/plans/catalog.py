@@ -52,8 +52,7 @@ class Catalog:
 
     def groups(self, kind: str | None = None) -> DataFrame:
         """Members of exact, near and video groups."""
-        found = duplicates.all_groups(self.files, self.video_frames, self.config.keeper_time == "compat")
-        return found.where(F.col("kind") == kind) if kind else found
+        return duplicates.all_groups(self.files, self.video_frames, self.config.keeper_time == "compat", kind, self.config)
 
     def people(self) -> DataFrame:
         return reports.people(self.faces, self.persons)

@@ -15,7 +15,9 @@ from shoebox.operators.components import connected_components
 from shoebox.operators.hamming import hamming_join
 from shoebox.operators.search import search
 from shoebox.plans.tables import table
-from shoebox.scratch import materialise
+from shoebox.scratch import materialise, scratch_path
+from shoebox.sources import files as source_files
+from shoebox.sources import sinks
 from shoebox.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,7 +120,7 @@ query("J2_live_members", f"""
 WITH a AS (SELECT DISTINCT group_id, file_id, similarity, name FROM dup_members JOIN files ON files.id = file_id WHERE {LIVE})
 SELECT * FROM a WHERE group_id IN (SELECT group_id FROM a GROUP BY 1 HAVING count(DISTINCT file_id) >= 2)""")(lambda t: listing.live_members(t.dup_members, t.files).select("group_id", "file_id", "similarity", "name"))
 query("J3_faces_persons", "SELECT f.id, f.file_id, p.name FROM faces f LEFT JOIN persons p ON p.id = f.person_id")(
-    lambda t: t.faces.select("id", "file_id", "person_id").join(F.broadcast(t.persons.select(F.col("id").alias("person_id"), "name")), "person_id", "left").select("id", "file_id", "name")
+    lambda t: t.faces.select("id", "file_id", "person_id").join(t.persons.select(F.col("id").alias("person_id"), "name"), "person_id", "left").select("id", "file_id", "name")
 )
 query("J5_folder_people", f"""
 SELECT {TOP} folder, p.id person_id, count(*) n_faces, count(DISTINCT f.file_id) n_files, min(f.id) sample_face_id, p.name
@@ -150,8 +152,23 @@ f AS (SELECT file_id id, {PHASH.format('phash')} h, video_frames.id frame FROM v
 l AS (SELECT id, count(*) len FROM f GROUP BY 1),
 x AS (SELECT DISTINCT a.id a, b.id b, a.frame FROM f a JOIN f b ON a.id <> b.id AND bit_count(xor(a.h, b.h)::BIT) <= 8),
 o AS (SELECT x.a s, x.b l, count(*) / any_value(p.len) overlap FROM x JOIN l p ON p.id = x.a JOIN l q ON q.id = x.b WHERE p.len < q.len OR p.len = q.len AND x.a < x.b GROUP BY x.a, x.b)"""
-query("J11_video_overlap", f"WITH {_OVERLAP.replace('<videos>', 'SELECT id FROM files')} SELECT least(s, l) a, greatest(s, l) b, round(overlap, 6) overlap FROM o WHERE overlap >= 0.7")(
-    lambda t: duplicates.video_overlaps(t.video_frames, t.files.select("id")).withColumn("overlap", F.round("overlap", 6))
+# Each video once more under its negative id, as a copy of other bytes that lost the frames without sharpness.
+_CLIPS = "clips AS (SELECT file_id, id, phash FROM video_frames UNION ALL SELECT -file_id, -id, phash FROM video_frames WHERE sharpness IS NOT NULL)"
+_FILMS = "films AS (SELECT * FROM files UNION ALL SELECT * REPLACE (-id AS id, NULL AS md5, NULL AS sha256) FROM files)"
+
+
+def _clips(t):
+    f = t.video_frames.select("file_id", "id", "phash", "sharpness")
+    return f.unionByName(f.where("sharpness is not null").withColumns({"file_id": -F.col("file_id"), "id": -F.col("id")}))
+
+
+def _films(t):
+    none = F.lit(None).cast("string")
+    return t.files.unionByName(t.files.withColumns({"id": -F.col("id"), "md5": none, "sha256": none}))
+
+
+query("J11_video_overlap", f"WITH {_CLIPS}, {_OVERLAP.replace('<videos>', 'SELECT id FROM files UNION ALL SELECT -id FROM files').replace('video_frames', 'clips')} SELECT least(s, l) a, greatest(s, l) b, round(overlap, 6) overlap FROM o WHERE overlap >= 0.7")(
+    lambda t: duplicates.video_overlaps(_clips(t), _films(t).select("id")).withColumn("overlap", F.round("overlap", 6))
 )
 query("J12_R15_assign", f"""
 WITH v AS (SELECT id, person_id, list_transform(vec::DOUBLE[], lambda x: x / sqrt(list_dot_product(vec::DOUBLE[], vec::DOUBLE[]))) u FROM faces WHERE {FACES_OK}),
@@ -250,12 +267,14 @@ SELECT count(*) files, coalesce(sum(size), 0)::BIGINT bytes, count(*) FILTER (fi
   count(*) FILTER (c = 'photos') photos, count(*) FILTER (c = 'videos') videos, count(*) FILTER (c = 'audio') audio, count(*) FILTER (c = 'other') other FROM u""")(lambda t: reports.folder_size(t.listing))
 query("A14_centroids", f"""
 WITH v AS (SELECT person_id, {_UNIT} u FROM faces WHERE person_id IS NOT NULL AND {FACES_OK}), e AS (SELECT person_id, unnest(u) x, generate_subscripts(u, 1) i FROM v),
-m AS (SELECT person_id, i, avg(x) x FROM e GROUP BY 1, 2) SELECT person_id, round(first(x ORDER BY i) / sqrt(sum(x * x)), 6) x1 FROM m GROUP BY 1""")(
-    lambda t: vectors.centroids(t.faces, "person_id").select("person_id", F.round(F.get("centroid", F.lit(0)), 6).alias("x1"))
+m AS (SELECT person_id, i, avg(x) x FROM e GROUP BY 1, 2) SELECT person_id, i::INTEGER - 1 i, round(x / sqrt(sum(x * x) OVER (PARTITION BY person_id)), 6) x FROM m""")(
+    lambda t: vectors.centroids(t.faces, "person_id").select("person_id", F.posexplode("centroid").alias("i", "x")).withColumn("x", F.round("x", 6))
 )
 query("A15_video_vectors", """
 WITH e AS (SELECT file_id, unnest(vec::DOUBLE[]) x, generate_subscripts(vec, 1) i FROM faces WHERE len(vec) = 128), m AS (SELECT file_id, i, avg(x) x FROM e GROUP BY 1, 2)
-SELECT file_id, round(first(x ORDER BY i) / sqrt(sum(x * x)), 6) x1 FROM m GROUP BY 1 HAVING sum(x * x) > 0""")(lambda t: frames.mean_vectors(t.faces, "file_id", 128).select("file_id", F.round(F.get("vec", F.lit(0)), 6).alias("x1")))
+SELECT file_id, i::INTEGER - 1 i, round(x / sqrt(sum(x * x) OVER (PARTITION BY file_id)), 6) x FROM m QUALIFY sum(x * x) OVER (PARTITION BY file_id) > 0""")(
+    lambda t: frames.mean_vectors(t.faces, "file_id", 128).select("file_id", F.posexplode("vec").alias("i", "x")).withColumn("x", F.round("x", 6))
+)
 query("A16_best_labels", f"SELECT file_id, label, score, row_number() OVER (PARTITION BY file_id ORDER BY score DESC, label) rank_no FROM (SELECT file_id, label, max(score) score FROM {LABELS} GROUP BY 1, 2) QUALIFY rank_no <= 3")(
     lambda t: frames.best_labels(listing.labels_of(t.files))
 )
@@ -289,7 +308,7 @@ query("W4_numbered_names")(
     lambda t: changes.numbered_names(t.files.select("id", "name", listing.year_text(t.files).alias("year"), "path"), "year", "name", ["path", "id"]).select("id", "year", "target")
 )
 query("W7_cluster_numbers", "WITH c AS (SELECT person_id, min(id) first FROM faces WHERE person_id IS NOT NULL GROUP BY 1) SELECT person_id, row_number() OVER (ORDER BY first) cluster_no FROM c")(
-    lambda t: t.spark.sql("select person_id, cast(row_number() over (order by first) as bigint) cluster_no from {c}", c=t.faces.where("person_id is not null").groupBy("person_id").agg(F.min("id").alias("first")))
+    lambda t: vectors.numbered(t.faces.where("person_id is not null").groupBy("person_id").agg(F.min("id").alias("first")), ["first"], "cluster_no").drop("first")
 )
 query("K1_first_page", f"SELECT id, coalesce(taken_time, created_time) shot FROM files WHERE {LIVE} ORDER BY shot DESC NULLS LAST, id LIMIT 60 OFFSET 60")(
     lambda t: listing.page(duplicates.live(t.files), listing.newest_first(), 1, 60).select("id", F.coalesce("taken_time", "created_time").alias("shot"))
@@ -320,10 +339,10 @@ SELECT group_id, id file_id, first(id) OVER (PARTITION BY group_id ORDER BY {KEE
     lambda t: duplicates.near_groups(t.files, materialise(duplicates.exact_groups(t.files), "exact")).select("group_id", "file_id", "keep_id")
 )
 query("G3_video_groups", f"""
-WITH RECURSIVE {_EXACT}, {_OVERLAP.replace("<videos>", f"SELECT id FROM files WHERE {LIVE} AND kind = 'video' AND id NOT IN (SELECT id FROM xr)")},
+WITH RECURSIVE {_FILMS}, {_CLIPS}, {_EXACT.replace("FROM files", "FROM films")}, {_OVERLAP.replace("<videos>", f"SELECT id FROM films WHERE {LIVE} AND kind = 'video' AND id NOT IN (SELECT id FROM xr)").replace("video_frames", "clips")},
 e AS (SELECT s a, l b FROM o WHERE overlap >= 0.7), {_REACH}, g AS (SELECT least(min(b), a) group_id, a id FROM reach GROUP BY a)
-SELECT group_id, id file_id, first(id) OVER (PARTITION BY group_id ORDER BY {KEEP}) keep_id FROM g JOIN files USING (id)""")(
-    lambda t: duplicates.video_groups(t.files, t.video_frames, materialise(duplicates.exact_groups(t.files), "exact")).select("group_id", "file_id", "keep_id")
+SELECT group_id, id file_id, first(id) OVER (PARTITION BY group_id ORDER BY {KEEP}) keep_id FROM g JOIN films USING (id)""")(
+    lambda t: duplicates.video_groups(_films(t), _clips(t), materialise(duplicates.exact_groups(_films(t)), "exact")).select("group_id", "file_id", "keep_id")
 )
 query("G4_dbscan", f"""
 WITH RECURSIVE v AS (SELECT id, {_UNIT} u FROM faces WHERE {FACES_OK}), e AS (SELECT a.id a, b.id b FROM v a JOIN v b ON a.id < b.id AND list_dot_product(a.u, b.u) >= 0.65), {_REACH}
@@ -346,7 +365,7 @@ SELECT f.id file_id, coalesce(round_even(CASE WHEN isnan(f.duration) THEN 0 ELSE
 FROM files f LEFT JOIN (SELECT file_id, count(*) n, sum(is_representative) s FROM video_frames GROUP BY 1) v ON v.file_id = f.id LEFT JOIN (SELECT file_id, count(*) k FROM faces GROUP BY 1) c ON c.file_id = f.id WHERE kind = 'video'""")(
     lambda t: frames.video_summaries(t.files, t.video_frames, t.faces)
 )
-query("S5_tree", """
+@query("S5_tree", """
 WITH c AS (SELECT 'c' || c_custkey id, 'n' || c_nationkey parent, c_name AS name FROM customer)
 SELECT 'r' || r_regionkey id, 0::BIGINT AS depth, r_name path FROM region
 UNION ALL SELECT 'n' || n_nationkey, 1, r_name || '/' || n_name FROM nation JOIN region ON r_regionkey = n_regionkey
@@ -383,8 +402,10 @@ query("X16_degrees", "SELECT id, CASE WHEN gps_lat < 0 THEN -1 ELSE 1 END * (flo
 query("X18_quality", "SELECT id, round(0.5 * least(1.0, sharpness / 500) + 0.25 * (1 - least(1.0, abs(0.3 - 0.45) / 0.45)) + 0.25 * least(1.0, 2.0 / 8), 3)::DOUBLE q FROM video_frames WHERE sharpness IS NOT NULL")(
     lambda t: t.video_frames.where("sharpness is not null").select("id", media.quality_score(F.col("sharpness"), F.lit(0.3).cast("double"), F.lit(2.0).cast("double")).alias("q"))
 )
-query("X19_K6_softmax", "WITH s AS (SELECT vec_id, list_transform(embedding[1:12]::DOUBLE[], lambda x: exp(x * 20)) e FROM embeddings) SELECT vec_id, round(list_max(e) / list_sum(e), 6) best FROM s")(
-    lambda t: t.embeddings.select("vec_id", F.round(F.get(top_labels(F.array(*[F.lit(f"l{i}") for i in range(12)]), softmax(F.transform(F.slice("embedding", 1, 12), lambda x: x.cast("double"))), 1, 0.0), F.lit(0))["p"], 6).alias("best"))
+query("X19_K6_softmax", """
+WITH s AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: exp(x * 20)) e FROM embeddings), p AS (SELECT vec_id, unnest(e) / list_sum(e) p, generate_subscripts(e, 1) i FROM s)
+SELECT vec_id, 'l' || (i - 1) AS label, round(p, 6) p FROM p WHERE p > 0.15 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY p DESC) <= 3""")(
+    lambda t: t.embeddings.select("vec_id", F.explode(top_labels(F.array(*[F.lit(f"l{i}") for i in range(64)]), softmax(F.transform("embedding", lambda x: x.cast("double"))))).alias("l")).select("vec_id", F.col("l.label").alias("label"), F.round("l.p", 6).alias("p"))
 )
 query("X20_cosine", f"SELECT a.file_id, round(list_cosine_similarity(a.vec::DOUBLE[], {_ONES}::DOUBLE[]), 6) s FROM file_embeddings a WHERE {FACES_OK.replace('128', '64')}")(
     lambda t: t.file_embeddings.where(comparable(F.col("vec"), 64)).select("file_id", F.round(cosine(F.col("vec"), F.array(*[F.lit(x) for x in _ONES])), 6).alias("s"))
@@ -398,10 +419,70 @@ SELECT id file_id, i::INTEGER n, round(least(i * step + step / 2, greatest(0, du
 query("X25_padded_box", "SELECT id, round(greatest(0, bbox[1] - 0.35 * (bbox[3] - bbox[1])), 6) x1, round(least(4000, bbox[3] + 0.35 * (bbox[3] - bbox[1])), 6) x2 FROM faces WHERE bbox IS NOT NULL")(
     lambda t: t.faces.where("bbox is not null").select("id", media.padded_box(F.col("bbox"), F.lit(4000), F.lit(4000)).alias("b")).select("id", F.round(F.get("b", F.lit(0)), 6).alias("x1"), F.round(F.get("b", F.lit(2)), 6).alias("x2"))
 )
-query("X26_human_bytes", "SELECT id, CASE WHEN size >= 1e9 THEN printf('%.2f GB', size / 1e9) ELSE printf('%.1f MB', size / 1e6) END h FROM files WHERE size IS NOT NULL AND size % 100000 <> 50000")(
+query("X26_human_bytes", "SELECT id, CASE WHEN size >= 1e9 THEN printf('%.2f GB', size / 1e9) ELSE printf('%.1f MB', size / 1e6) END h FROM files WHERE size IS NOT NULL")(
     lambda t: t.files.where("size is not null").select("id", names.human_bytes(F.col("size")).alias("h"))
 )
 
+# Sources, sinks and changes over views of the tables.
+_MEDIA = "(mime LIKE '%image/%' OR mime LIKE '%video/%')"
+
+
+@query("S4_drive_listing", f"SELECT id::VARCHAR source_id, name, mime, coalesce(size, 0) size, md5 FROM listing WHERE {_MEDIA}")
+def _drive(t):
+    item = F.struct(F.col("id").cast("string").alias("id"), "name", F.col("mime").alias("mimeType"), F.col("size").cast("string").alias("size"), F.col("md5").alias("md5Checksum"))
+    pages = t.listing.select(F.to_json(F.struct(F.array(item).alias("files"))).alias("value"))
+    return source_files.drive_listing(pages).select("source_id", "name", "mime", "size", "md5")
+
+
+@query("S8_ledger", "SELECT md5, path, size FROM listing WHERE md5 IS NOT NULL AND md5 <> '' QUALIFY row_number() OVER (PARTITION BY md5 ORDER BY id DESC) = 1")
+def _ledger(t):
+    at = scratch_path(t.spark, "ledger")
+    sinks.append_lines(t.listing.orderBy("id").select("md5", "path", "size"), at)
+    return source_files.ledger(t.spark, at)
+
+
+@query("S9_skipped", "SELECT path drive_path, md5, name kept_copy, size FROM listing")
+def _skipped(t):
+    at = scratch_path(t.spark, "skipped")
+    sinks.append_lines(t.listing.select(F.col("path").alias("drive_path"), "md5", F.col("name").alias("kept_copy"), "size"), at)
+    return source_files.skipped_report(t.spark, at)
+
+
+query("S10_sidecars", "SELECT path, 2000 + id % 25 AS year FROM (SELECT path, min(id) id FROM files WHERE path IS NOT NULL AND path <> '' AND NOT ends_with(path, '/') GROUP BY 1)")(
+    lambda t: (lambda m: source_files.sidecar_years(m.select("path"), m.select(F.concat("path", F.lit(".json")).alias("path"), F.format_string('{"photoTakenTime": {"timestamp": "%d"}}', F.unix_timestamp(F.make_timestamp(2000 + F.col("id") % 25, F.lit(6), F.lit(1), F.lit(0), F.lit(0), F.lit(0)))).alias("value"))).withColumn("year", F.col("year").cast("bigint")))(
+        t.files.where("path is not null and path <> '' and not endswith(path, '/')").groupBy("path").agg(F.min("id").alias("id"))
+    )
+)
+
+
+@query("O1_O2_exports", "SELECT id, size, status FROM files UNION ALL SELECT id, size, status FROM files")
+def _exports(t):
+    at, rows = scratch_path(t.spark, "export"), t.files.select("id", "size", "status")
+    sinks.write_csv(rows, f"{at}/csv")
+    sinks.write_tables({"files": rows}, at)
+    return t.spark.read.schema("id bigint, size bigint, status string").option("header", "true").csv(f"{at}/csv").unionByName(t.spark.read.parquet(f"{at}/files"))
+
+
+@query("O3_O4_undo", "SELECT id seq, 'sorted/' || name AS \"from\", path AS \"to\" FROM files UNION ALL SELECT id, 'sorted/' || name, path FROM listing")
+def _undo(t):
+    at = scratch_path(t.spark, "manifest")
+    for rows in (t.files, t.listing):
+        sinks.append_lines(rows.select(F.col("id").alias("seq"), F.col("path").alias("from"), F.concat(F.lit("sorted/"), "name").alias("to")), at)
+    return sinks.undo_plan(t.spark, at)
+
+
+query("U4_set_columns", "SELECT id, CASE WHEN size > 5000000 THEN 'large' ELSE status END status, size FROM files")(lambda t: changes.set_columns(t.files.select("id", "status", "size"), "size > 5000000", status="large"))
+query("X9_R17_person_search", f"""
+WITH v AS (SELECT file_id id, list_cosine_similarity(vec::DOUBLE[], {_ONES}::DOUBLE[]) s FROM file_embeddings JOIN files ON files.id = file_id WHERE {LIVE} AND {FACES_OK.replace('128', '64')})
+SELECT id, round(s, 3) score FROM v WHERE id IN (SELECT file_id FROM faces WHERE person_id = (SELECT min(id) FROM persons WHERE name = (SELECT name FROM persons WHERE id = 17))) ORDER BY round(s, 9) DESC, id LIMIT 60""")(
+    lambda t: search(t.persons.where("id = 17").first()["name"].upper(), t.files, t.faces, t.persons, listing.labels_of(t.files), t.file_embeddings, lambda text: _ONES).select("id", "score")
+)
+query("K3_R17_vector_search", f"""
+WITH v AS (SELECT file_id id, list_cosine_similarity(vec::DOUBLE[], {_ONES}::DOUBLE[]) s FROM file_embeddings JOIN files ON files.id = file_id WHERE {LIVE} AND {FACES_OK.replace('128', '64')})
+SELECT id, round(s, 3) score FROM v WHERE s >= 0.18 ORDER BY round(s, 9) DESC, id LIMIT 60""")(
+    lambda t: search("old harbour", t.files, t.faces, t.persons, listing.labels_of(t.files), t.file_embeddings, lambda text: _ONES).select("id", "score")
+)
+
 # Streams, run over whole tables.
 query("T_windows", "SELECT date_trunc('hour', ts) start, event_type, count(*) n, round(sum(value), 6) total FROM events GROUP BY 1, 2")(lambda t: ingest.windowed_counts(t.events))
 query("T_sessions", """
