@@ -16,11 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoebox.llm.blocks import SAMPLE_ROWS, STRIPE_ROWS, matrix, meet, routed, sample_rows_of, unit_vectors
+from shoebox.llm.blocks import SAMPLE_ROWS, STRIPE_ROWS, divide, exact_router, matrix, meet, routed, sample_rows_of, unit_vectors
 from shoebox.scratch import materialise
 
 #: Queries answered by brute force to find how many parts have to be visited.
 TRIALS = 512
+#: Rows of a part, and parts of one classifier; where these cannot hold all rows, each part is divided again.
+ROWS_PER_PART, PARTS = 2000, 256
 
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -103,6 +105,14 @@ class PartClassifier:
     def scores(self, x: np.ndarray) -> np.ndarray:
         return np.maximum(x @ self.w[0] + self.w[1], 0) @ self.w[2] + self.w[3]
 
+    @property
+    def width(self) -> int:
+        return self.w[0].shape[0]
+
+    @property
+    def parts(self) -> int:
+        return self.w[2].shape[1]
+
     def route(self, visits: int):
         def router(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             z = self.scores(x)
@@ -119,9 +129,8 @@ def learn_partitions(sample: np.ndarray, rows: int, tables: int, rows_per_part:
     return [PartClassifier(sample, balanced_parts(graph, parts, seed), parts, seed) for seed in range(tables)]
 
 
-def _trial_tops(batches: Iterator[pa.RecordBatch], ids: np.ndarray, q: np.ndarray, models: list[PartClassifier], k: int, least: float, dim: int) -> Iterator[pa.RecordBatch]:
+def _trial_tops(batches: Iterator[pa.RecordBatch], ids: np.ndarray, q: np.ndarray, models: list, ranks: list[np.ndarray], k: int, least: float, dim: int) -> Iterator[pa.RecordBatch]:
     """The trial queries' most similar rows of each batch, with the rank of their home part for the query in each model."""
-    ranks = [np.argsort(np.argsort(-m.scores(q), axis=1), axis=1) for m in models]
     for batch in batches:
         x = matrix(batch.column("unit").to_pylist(), dim)
         s = q @ x.T
@@ -130,7 +139,7 @@ def _trial_tops(batches: Iterator[pa.RecordBatch], ids: np.ndarray, q: np.ndarra
         i, j = np.repeat(np.arange(len(q)), take), np.argpartition(-s, take - 1, axis=1)[:, :take].ravel()
         keep = s[i, j] >= max(least, -1.5)
         i, j = i[keep], j[keep]
-        at = np.stack([r[i, m.scores(x).argmax(1)[j]] for r, m in zip(ranks, models)], axis=1)
+        at = np.stack([r[i, m.route(1)(x)[0][j]] for r, m in zip(ranks, models)], axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(s[i, j].astype(np.float64)), pa.array(at.tolist(), pa.list_(pa.int32()))], ["query", "similarity", "ranks"])
 
 
@@ -139,13 +148,15 @@ def visits_for(reps: DataFrame, asks: DataFrame, models: list[PartClassifier], k
 
     ``visits`` in all tables is the least; fewer tables are taken only where that least is not enough.
     """
-    parts = models[0].scores(np.zeros((1, dim), np.float32)).shape[1]
+    parts = models[0].parts
     if visits >= parts:
         return 1, parts
-    ids, q = sample_rows_of(asks, dim, TRIALS, seed=11)
+    # Fewer trials where the parts are many, as each needs the rank of every part.
+    ids, q = sample_rows_of(asks, dim, max(64, min(TRIALS, (1 << 19) // parts)), seed=11)
     if len(ids) == 0:
         return len(models), visits
-    tops = reps.select("id", "unit").mapInArrow(lambda b: _trial_tops(b, ids, q, models, k, least, dim), "query int, similarity double, ranks array<int>")
+    ranks = [np.argsort(np.argsort(-m.scores(q), axis=1), axis=1).astype(np.int32) for m in models]
+    tops = reps.select("id", "unit").mapInArrow(lambda b: _trial_tops(b, ids, q, models, ranks, k, least, dim), "query int, similarity double, ranks array<int>")
     w = Window.partitionBy("query").orderBy(F.desc("similarity"))
     true = tops.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("ranks").toArrow().column("ranks").to_pylist()
     if not true:
@@ -183,7 +194,7 @@ def _top_tile(home: pd.DataFrame, visiting: pd.DataFrame, k: int, least: float,
 
 
 def nearest(
-    rows: DataFrame, id_: str, vec: str, dim: int, k: int = 5, least: float = -1.0, queries=None, visits: int = 4, tables: int = 2, sample_rows: int = SAMPLE_ROWS, recall: float = 0.95
+    rows: DataFrame, id_: str, vec: str, dim: int, k: int = 5, least: float = -1.0, queries=None, visits: int = 4, tables: int = 2, sample_rows: int = SAMPLE_ROWS, recall: float = 0.95, exact: bool = False, rows_per_part: int = ROWS_PER_PART, most: int = PARTS
 ) -> DataFrame:
     """(id, other, similarity, rank_no): the ``k`` most similar other comparable vectors of each query.
 
@@ -191,7 +202,9 @@ def nearest(
     listed. Ties go to the smaller id. The partition is learned on at most ``sample_rows`` vectors; every row is
     indexed. Equal vectors are indexed once: since ties go to the smaller id, only their k + 1 smallest ids can be
     anyone's neighbours, and all of them ask. At least ``visits`` parts of each of the ``tables`` partitions are
-    visited, and as many as it takes to meet ``recall`` of the neighbours of trial queries. Rows without a comparable vector neither ask nor answer; an empty
+    visited, and as many as it takes to meet ``recall`` of the neighbours of trial queries. More rows than ``most`` parts of
+    four times ``rows_per_part`` can hold have their parts divided again. With ``exact`` every part is visited that can hold a neighbour of cosine >= ``least`` by the
+    triangle inequality, so none is missed, at a cost that grows with the square of the rows. Rows without a comparable vector neither ask nor answer; an empty
     table gives no rows.
     """
     spark = rows.sparkSession
@@ -212,9 +225,17 @@ def nearest(
         asking, silent = places.where("asked").select("id", "unit"), places.where("asked is null").select("id", "unit")
     else:
         asking, silent = reps.select("id", "unit"), None
-    models = learn_partitions(sample, reps.count(), tables)
-    tables, visits = visits_for(reps, asking, models, k, least, dim, recall, visits)
-    placed = routed(asking, [m.route(visits) for m in models[:tables]], dim)
+    count = reps.count()
+    models: list = learn_partitions(sample, count, 1 if exact else tables, rows_per_part, most)
+    if count > 4 * models[0].parts * rows_per_part:
+        models = [divide(reps, m, dim, lambda x, n: learn_partitions(x, n, 1, rows_per_part, most)[0], rows_per_part, sample_rows) for m in models]
+    if exact:
+        routers = [exact_router(reps, models[0], dim, least)]
+        tables = 1
+    else:
+        tables, visits = visits_for(reps, asking, models, k, least, dim, recall, visits)
+        routers = [m.route(visits) for m in models[:tables]]
+    placed = routed(asking, routers, dim)
     if silent is not None:
         placed = placed.unionByName(routed(silent, [m.route(0) for m in models[:tables]], dim))
     placed = materialise(placed, "placed")

@@ -93,19 +93,32 @@ def test_neighbours_on_the_tables(spark):
     assert len(want & got) >= 0.9 * len(want)
 
 
-def test_recall_holds_where_parts_outnumber_visits(spark, monkeypatch):
-    """Neighbours of low cosine, spread over 30 parts of which 4 were visited whatever the recall."""
-    import shoebox.llm.neighbours as n
-
-    learn = n.learn_partitions
-    monkeypatch.setattr(n, "learn_partitions", lambda sample, rows, tables: learn(sample, rows, tables, 50))
+@pytest.mark.parametrize("how", [{"rows_per_part": 50}, {"rows_per_part": 20, "most": 4}])
+def test_recall_holds_where_parts_outnumber_visits(spark, how):
+    """Neighbours of low cosine, spread over parts of which 4 were visited whatever the recall; also in divided parts."""
     v = np.random.default_rng(9).normal(size=(1500, 32)).astype(np.float32)
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], VEC)
     ids, u = unit_rows(df, 32)
-    for queries, asks in ((None, lambda i: True), ("id % 3 = 0", lambda i: i % 3 == 0)):
-        want = {w[:2] for w in truth_neighbours(ids, u, 5, -1) if asks(w[0])}
-        got = {(r["id"], r["other"]) for r in nearest(df, "id", "vec", 32, queries=queries).collect()}
-        assert len(want & got) >= 0.9 * len(want)
+    want = {w[:2] for w in truth_neighbours(ids, u, 5, -1) if w[0] % 3 == 0}
+    got = {(r["id"], r["other"]) for r in nearest(df, "id", "vec", 32, queries="id % 3 = 0", **how).collect()}
+    assert len(want & got) >= 0.9 * len(want)
+
+
+def test_exact_modes_lose_nothing(spark):
+    emb = table(spark, LARGER, "file_embeddings")
+    ids, u = unit_rows(emb, 64, "file_id")
+    got = {(r["id"], r["other"], r["rank_no"]) for r in nearest(emb, "file_id", "vec", 64, 5, 0.85, exact=True, rows_per_part=20, most=4).collect()}
+    assert got == truth_neighbours(ids, u, 5, 0.85)
+    faces = table(spark, LARGER, "faces").where("person_id is null")
+    fast = {tuple(r) for r in cluster_vectors(faces).select("cluster_key", "id").collect()}
+    exact = {tuple(r) for r in cluster_vectors(faces, exact=True).select("cluster_key", "id").collect()}
+    divided = {tuple(r) for r in cluster_vectors(faces, rows_per_component=20).select("cluster_key", "id").collect()}
+    ids, u = unit_rows(faces, 128)
+    at = {}
+    for i, j in zip(*np.nonzero(np.triu(u @ u.T >= 0.65, 1))):
+        at.setdefault(int(ids[i]), set()).add(int(ids[j]))
+    assert {i for _, i in exact} == set(at) | set().union(*at.values())
+    assert len(fast & exact) >= 0.99 * len(exact) and len(divided & exact) >= 0.97 * len(exact)
 
 
 def test_copies_and_ties_are_exact(spark):
