@@ -1,7 +1,7 @@
 """Evaluation texts leaking into training text.
 
-A positional inverted index holds the postings (term, next term, document, position) of the corpus, cut into ranges of terms
-and sorted within them; it is built once and opened again by later calls. Every window of consecutive test words is looked
+A positional inverted index holds the postings (term, next term, document, position) of the corpus in segments of
+documents, each sorted by term; it is written without a shuffle, once, and opened again by later calls. Every window of consecutive test words is looked
 up by its rarest term only, together with that term's neighbour; what these postings suggest is confirmed by
 intersecting the offset-adjusted postings of the other words, and runs of agreeing positions are the matches.
 """
@@ -22,9 +22,7 @@ from shoebox.scratch import materialise, scratch_path
 
 #: Rows of at most 48 bytes that are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 500_000
-#: Postings of one range of terms.
-ROWS_PER_RANGE = 4_000_000
-_POSTING = "term bigint, next bigint, doc bigint, pos int, range int"
+_POSTING = "doc bigint, pos int, term bigint, next int"
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -41,7 +39,10 @@ def words(text: str | None) -> list[str]:
 
 
 def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, pos, term, next) of every word; a term is a 64-bit hash of the word, the last word of a text has no next."""
+    """(id, pos, term, next) of every word, sorted by term within a batch of texts.
+
+    A term is a 64-bit hash of the word, next 32 bits of the hash of the word after it; the last word of a text has no next.
+    """
     for batch in batches:
         found = [words(t) for t in batch.column("text").to_pylist()]
         sizes = np.array([len(f) for f in found])
@@ -50,12 +51,12 @@ def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         codes, names = pd.factorize(flat)
         terms = pd.util.hash_array(names, categorize=False).view(np.int64)[codes]
-        last = np.cumsum(sizes)[sizes > 0] - 1
-        following, end = np.append(terms[1:], 0), np.zeros(len(terms), bool)
-        end[last] = True
+        following, end = np.append(terms[1:], 0).astype(np.int32), np.zeros(len(terms), bool)
+        end[np.cumsum(sizes)[sizes > 0] - 1] = True
         ids = np.repeat(batch.column("id").to_numpy(), sizes)
         pos = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        columns = [pa.array(ids, pa.int64()), pa.array(pos, pa.int32()), pa.array(terms, pa.int64()), pa.array(following, pa.int64(), mask=end)]
+        order = np.argsort(terms, kind="stable")
+        columns = [pa.array(ids[order], pa.int64()), pa.array(pos[order], pa.int32()), pa.array(terms[order], pa.int64()), pa.array(following[order], pa.int32(), mask=end[order])]
         for at in range(0, len(flat), 100_000):
             yield pa.RecordBatch.from_arrays([c.slice(at, 100_000) for c in columns], ["id", "pos", "term", "next"])
 
@@ -63,7 +64,7 @@ def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def term_positions(texts: DataFrame, id_: str, text: str) -> DataFrame:
     """(id, pos, term, next): every word of every text and the word after it."""
     src = texts.select(F.col(id_).cast("bigint").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
-    return src.mapInArrow(_post, "id long, pos int, term long, next long")
+    return src.mapInArrow(_post, "id long, pos int, term long, next int")
 
 
 def _few(df: DataFrame, rows: int) -> DataFrame:
@@ -72,42 +73,19 @@ def _few(df: DataFrame, rows: int) -> DataFrame:
 
 
 class PositionalIndex:
-    """Postings of a corpus below ``path``, in ranges of terms; a path that holds an index already is opened, not built again.
-
-    Only ranges in which an asked term falls are read.
-    """
+    """Postings of a corpus below ``path``; a path that holds a complete index already is opened, not built again."""
 
     def __init__(self, corpus: DataFrame | None, id_: str = "doc_id", text: str = "text", path: str | None = None, spark: SparkSession | None = None):
         self.spark = spark or corpus.sparkSession
         self.path = path or scratch_path(self.spark, "postings")
-        kept = self._kept()
-        if kept is None:
-            found = term_positions(corpus, id_, text).withColumnRenamed("id", "doc")
-            # About six characters a word; the figure shapes the files only.
-            rows = (corpus.agg(F.sum(F.length(text).cast("bigint"))).first()[0] or 0) // 6
-            kept = min(12, (rows // ROWS_PER_RANGE).bit_length())
-            parts = max(1, rows // (ROWS_PER_RANGE // 4))
-            ranged = found.withColumn("range", F.shiftrightunsigned("term", 64 - kept).cast("int") if kept else F.lit(0))
-            # A range goes to several tasks by document, so a term that stands everywhere is spread.
-            dealt = ranged.repartition(parts, "range", F.pmod(F.xxhash64("doc"), F.lit(max(1, parts >> kept)))).sortWithinPartitions("range", "term", "next", "doc", "pos")
-            dealt.write.mode("overwrite").option("compression", "zstd").partitionBy("range").parquet(f"{self.path}/bits-{kept}")
-        self.bits = kept
-
-    def _kept(self) -> int | None:
-        """Range bits of a complete index at the path."""
         jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
-        return next((int(n[5:]) for n in names if n.startswith("bits-") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))), None)
+        done = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_SUCCESS")
+        if not done.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+            term_positions(corpus, id_, text).withColumnRenamed("id", "doc").write.mode("overwrite").option("compression", "zstd").parquet(self.path)
 
-    def postings(self, asked: DataFrame) -> DataFrame:
-        """(term, next, doc, pos) of the ranges that the asked terms fall into; at most 4096 range numbers come to the driver."""
-        found = self.spark.read.schema(_POSTING).parquet(f"{self.path}/bits-{self.bits}")
-        if self.bits:
-            touched = [r[0] for r in asked.select(F.shiftrightunsigned("term", 64 - self.bits).cast("int").alias("r")).distinct().collect()]
-            found = found.where(F.col("range").isin(touched)) if len(touched) < 1 << self.bits else found
-        return found.drop("range")
+    def postings(self) -> DataFrame:
+        """(doc, pos, term, next)"""
+        return self.spark.read.schema(_POSTING).parquet(self.path)
 
 
 def _item_terms(items: DataFrame, id_: str, text: str) -> DataFrame:
@@ -120,7 +98,7 @@ def _anchors(index: PositionalIndex, terms: DataFrame, n: int) -> DataFrame:
     Where the rarest term is the last of its window the word before it is taken, so both always lie in the window.
     """
     asked = materialise(terms.select("term").distinct(), "terms")
-    held = index.postings(asked).select("term").join(_few(asked, asked.count()), "term", "left_semi")
+    held = index.postings().select("term").join(_few(asked, asked.count()), "term", "left_semi")
     frequency = held.groupBy("term").agg(F.count("*").alias("df"))
     own = Window.partitionBy("item").orderBy("at")
     window = own.rowsBetween(0, n - 1)
@@ -137,7 +115,8 @@ def _confirmed(index: PositionalIndex, terms: DataFrame, aligned: DataFrame) ->
     """(doc, item, shift, at): item positions whose word stands at its place in the document."""
     due = aligned.join(_few(terms, terms.count()), "item").select("doc", "item", "shift", "at", "term", (F.col("shift") + F.col("at")).alias("pos"))
     due = materialise(due, "due")
-    have = index.postings(due).select("doc", "pos", "term")
+    docs = materialise(due.select("doc").distinct(), "docs")
+    have = index.postings().select("doc", "pos", "term").join(_few(docs, docs.count()), "doc", "left_semi")
     return have.join(_few(due, due.count()), ["doc", "pos", "term"]).select("doc", "item", "shift", "at").distinct()
 
 
@@ -152,7 +131,7 @@ def leaked_passages(corpus: DataFrame, items: DataFrame, n: int = 12, id_: str =
     terms = _item_terms(items, item_id, item_text)
     anchors = _anchors(index, terms, n)
     pair = [F.col("p.term") == F.col("a.term"), F.col("p.next") == F.col("a.next")] if n > 1 else [F.col("p.term") == F.col("a.term")]
-    found = index.postings(anchors).alias("p").join(_few(anchors, anchors.count()).alias("a"), pair)
+    found = index.postings().alias("p").join(_few(anchors, anchors.count()).alias("a"), pair)
     aligned = materialise(found.select("doc", "item", (F.col("pos") - F.col("at")).alias("shift")).distinct(), "aligned")
     hits = _confirmed(index, terms, aligned)
     w = Window.partitionBy("doc", "item", "shift").orderBy("at")
@@ -172,11 +151,11 @@ def close_passages(corpus: DataFrame, items: DataFrame, n: int = 12, slop: int =
     rarest = _anchors(index, terms, n).select("item", F.col("rarest").alias("at")).distinct().join(terms.select("item", "at", "term"), ["item", "at"])
     rarest = materialise(rarest, "rarest")
     # A posting near the anchor counts for its item place; of an item only the words within reach of each other are asked.
-    found = index.postings(rarest).join(_few(rarest, rarest.count()), "term")
+    found = index.postings().join(_few(rarest, rarest.count()), "term")
     aligned = materialise(found.select("doc", "item", (F.col("pos") - F.col("at")).alias("shift")).distinct(), "aligned")
     docs = materialise(aligned.select("doc").distinct(), "docs")
     asked = materialise(terms.select("term").distinct(), "terms")
-    kept = index.postings(asked).join(_few(asked, asked.count()), "term", "left_semi").join(_few(docs, docs.count()), "doc", "left_semi")
+    kept = index.postings().join(_few(asked, asked.count()), "term", "left_semi").join(_few(docs, docs.count()), "doc", "left_semi")
     held = kept.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("pos", "term"))).alias("words"))
     wanted = terms.groupBy("item").agg(F.array_sort(F.collect_set(F.struct("at", "term"))).alias("item_words"))
     lead = F.struct((F.col("shift") - slop).alias("pos"))

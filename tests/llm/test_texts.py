@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from shoebox.llm.leakage import close_passages, leaked_passages, words
+from shoebox.llm.leakage import PositionalIndex, close_passages, leaked_passages, words
 from shoebox.llm.packing import pack_texts, sum_of_squares, token_counts
 from shoebox.llm.truncation import cut_documents, judge_truncation, truncation_by_source
 from shoebox.plans.tables import table
@@ -34,7 +34,7 @@ def test_leaks_equal_brute_force_on_the_table(spark):
     assert want and len(got) == len(set(got)) and set(got) == want
 
 
-@settings(max_examples=8, deadline=None)
+@settings(max_examples=5, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("abc"), max_size=14), min_size=1, max_size=5), st.lists(st.lists(st.sampled_from("abc"), max_size=8), min_size=1, max_size=4))
 def test_leaks_of_repetitive_texts(spark, docs, items):
     docs, items = [(i, " ".join(d)) for i, d in enumerate(docs)], [(i, ", ".join(d)) for i, d in enumerate(items)]
@@ -51,6 +51,15 @@ def test_leaks_of_dirty_rows(spark, rows):
     assert leaked_passages(docs.limit(0), items.limit(0)).count() == 0
 
 
+def test_an_index_is_opened_again(spark, rows, tmp_path):
+    text = " ".join(f"w{i}" for i in range(15))
+    items = spark.createDataFrame([(7, text)], ITEM)
+    index = PositionalIndex(spark.createDataFrame([(1, text), (2, "w1 w2")], DOC), path=f"file://{tmp_path}/index")
+    assert rows(leaked_passages(None, items, index=index)) == [(1, 7, 15)]
+    kept = PositionalIndex(None, path=f"file://{tmp_path}/index", spark=spark)
+    assert rows(leaked_passages(None, items, index=kept)) == [(1, 7, 15)] and kept.postings().count() == 17
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 30), max_size=80), st.integers(30, 40))
 def test_sum_of_squares_never_overfills(sizes, capacity):
