@@ -2,7 +2,7 @@
 
 A positional inverted index holds the postings (term, next term, document, position) of the corpus in segments of
 documents, each sorted by term; it is written without a shuffle, once, and opened again by later calls. Every window of consecutive test words is looked
-up by its rarest term only, together with that term's neighbour; what these postings suggest is confirmed by
+up only where its rarest term stands, by a run of six words around it; what these postings suggest is confirmed by
 intersecting the offset-adjusted postings of the other words, and runs of agreeing positions are the matches.
 """
 
@@ -22,7 +22,9 @@ from shoebox.scratch import materialise, scratch_path
 
 #: Rows of at most 48 bytes that are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 500_000
-_POSTING = "doc bigint, pos int, term bigint, next int"
+_POSTING = "doc bigint, pos int, term bigint, next int, ahead int"
+#: Words after a term that its posting tells by one number.
+AHEAD = 5
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -39,9 +41,10 @@ def words(text: str | None) -> list[str]:
 
 
 def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, pos, term, next) of every word, sorted by term within a batch of texts.
+    """(id, pos, term, next, ahead) of every word, sorted by term within a batch of texts.
 
-    A term is a 64-bit hash of the word, next 32 bits of the hash of the word after it; the last word of a text has no next.
+    A term is a 64-bit hash of the word, next 32 bits of the hash of the word after it, ahead 32 bits of a hash of the ``AHEAD``
+    words after it; both are null where the text ends before.
     """
     for batch in batches:
         found = [words(t) for t in batch.column("text").to_pylist()]
@@ -53,18 +56,24 @@ def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = pd.util.hash_array(names, categorize=False).view(np.int64)[codes]
         following, end = np.append(terms[1:], 0).astype(np.int32), np.zeros(len(terms), bool)
         end[np.cumsum(sizes)[sizes > 0] - 1] = True
+        mixed = np.zeros(len(terms), np.uint64)
+        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(terms)) - 1
+        for k in range(1, AHEAD + 1):
+            mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + np.append(terms[k:], np.zeros(min(k, len(terms)), np.int64)).view(np.uint64)
+        short = left < AHEAD
+        mixed = (mixed >> np.uint64(32)).astype(np.uint32).view(np.int32)
         ids = np.repeat(batch.column("id").to_numpy(), sizes)
         pos = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         order = np.argsort(terms, kind="stable")
-        columns = [pa.array(ids[order], pa.int64()), pa.array(pos[order], pa.int32()), pa.array(terms[order], pa.int64()), pa.array(following[order], pa.int32(), mask=end[order])]
+        columns = [pa.array(ids[order], pa.int64()), pa.array(pos[order], pa.int32()), pa.array(terms[order], pa.int64()), pa.array(following[order], pa.int32(), mask=end[order]), pa.array(mixed[order], pa.int32(), mask=short[order])]
         for at in range(0, len(flat), 100_000):
-            yield pa.RecordBatch.from_arrays([c.slice(at, 100_000) for c in columns], ["id", "pos", "term", "next"])
+            yield pa.RecordBatch.from_arrays([c.slice(at, 100_000) for c in columns], ["id", "pos", "term", "next", "ahead"])
 
 
 def term_positions(texts: DataFrame, id_: str, text: str) -> DataFrame:
-    """(id, pos, term, next): every word of every text and the word after it."""
+    """(id, pos, term, next, ahead): every word of every text and what comes after it."""
     src = texts.select(F.col(id_).cast("bigint").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
-    return src.mapInArrow(_post, "id long, pos int, term long, next int")
+    return src.mapInArrow(_post, "id long, pos int, term long, next int, ahead int")
 
 
 def _few(df: DataFrame, rows: int) -> DataFrame:
@@ -84,7 +93,7 @@ class PositionalIndex:
             term_positions(corpus, id_, text).withColumnRenamed("id", "doc").write.mode("overwrite").option("compression", "zstd").parquet(self.path)
 
     def postings(self) -> DataFrame:
-        """(doc, pos, term, next)"""
+        """(doc, pos, term, next, ahead)"""
         return self.spark.read.schema(_POSTING).parquet(self.path)
 
 
@@ -93,9 +102,9 @@ def _item_terms(items: DataFrame, id_: str, text: str) -> DataFrame:
 
 
 def _anchors(index: PositionalIndex, terms: DataFrame, n: int) -> DataFrame:
-    """(item, term, next, at): the rarest term of each window of ``n`` test words, and the word after it.
+    """(item, rarest, at, term, next, ahead): the rarest term of each window of ``n`` test words, and a place from which a run of words holds it.
 
-    Where the rarest term is the last of its window the word before it is taken, so both always lie in the window.
+    The run is ``AHEAD`` + 1 words, or two where the windows are shorter; it always lies in the window.
     """
     asked = materialise(terms.select("term").distinct(), "terms")
     held = index.postings().select("term").join(_few(asked, asked.count()), "term", "left_semi")
@@ -106,9 +115,10 @@ def _anchors(index: PositionalIndex, terms: DataFrame, n: int) -> DataFrame:
     rare = F.min(F.struct("df", "term", "at")).over(window)
     found = rated.withColumn("rare", rare).withColumn("size", F.count("*").over(window)).withColumn("end", F.max("at").over(window))
     found = found.where((F.col("size") == n) & (F.col("rare.df") > 0))
-    place = F.when((F.col("rare.at") == F.col("end")) & (n > 1), F.col("rare.at") - 1).otherwise(F.col("rare.at"))
+    run = AHEAD if n > AHEAD else min(n, 2) - 1
+    place = F.least(F.col("rare.at"), F.col("end") - run)
     found = found.select("item", F.col("rare.at").alias("rarest"), place.alias("at")).distinct()
-    return materialise(found.join(terms, ["item", "at"]).select("item", "rarest", "at", "term", "next"), "anchors")
+    return materialise(found.join(terms, ["item", "at"]).select("item", "rarest", "at", "term", "next", "ahead"), "anchors")
 
 
 def _confirmed(index: PositionalIndex, terms: DataFrame, aligned: DataFrame) -> DataFrame:
@@ -130,8 +140,9 @@ def leaked_passages(corpus: DataFrame, items: DataFrame, n: int = 12, id_: str =
     index = index or PositionalIndex(corpus, id_, text)
     terms = _item_terms(items, item_id, item_text)
     anchors = _anchors(index, terms, n)
-    pair = [F.col("p.term") == F.col("a.term"), F.col("p.next") == F.col("a.next")] if n > 1 else [F.col("p.term") == F.col("a.term")]
-    found = index.postings().alias("p").join(_few(anchors, anchors.count()).alias("a"), pair)
+    same = ["term", "ahead"] if n > AHEAD else ["term", "next"][: min(n, 2)]
+    asked = anchors.select("item", "at", *same).distinct()
+    found = index.postings().select("doc", "pos", *same).join(_few(asked, anchors.count()), same)
     aligned = materialise(found.select("doc", "item", (F.col("pos") - F.col("at")).alias("shift")).distinct(), "aligned")
     hits = _confirmed(index, terms, aligned)
     w = Window.partitionBy("doc", "item", "shift").orderBy("at")
