@@ -151,6 +151,20 @@ def leaked_passages(corpus: DataFrame, items: DataFrame, n: int = 12, id_: str =
     return long.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "n_words")
 
 
+def _count_near(batches: Iterator[pd.DataFrame], n: int, slop: int) -> Iterator[pd.DataFrame]:
+    """Item words of each alignment that stand at most ``slop`` words off; ``pos`` counts from ``slop`` words before the item's first place."""
+    reach = np.arange(2 * slop + 1)
+    for batch in batches:
+        counts = np.zeros(len(batch), np.int64)
+        for k, (pos, term, at, wanted) in enumerate(zip(batch["pos"], batch["term"], batch["at"], batch["wanted"])):
+            held, there = np.zeros(at[-1] + len(reach), np.int64), np.zeros(at[-1] + len(reach), bool)
+            held[pos], there[pos] = term, True
+            around = at[:, None] + reach
+            counts[k] = ((held[around] == wanted[:, None]) & there[around]).any(1).sum()
+        keep = counts >= n
+        yield pd.DataFrame({"doc": batch["doc"][keep], "item": batch["item"][keep], "n_words": counts[keep]})
+
+
 def close_passages(corpus: DataFrame, items: DataFrame, n: int = 12, slop: int = 3, id_: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", index: PositionalIndex | None = None) -> DataFrame:
     """(doc_id, item_id, n_words): proximity matches, at least ``n`` words of an item near one place in a document.
 
@@ -173,7 +187,10 @@ def close_passages(corpus: DataFrame, items: DataFrame, n: int = 12, slop: int =
     met = aligned.join(held, "doc").join(F.broadcast(wanted) if terms.count() <= BROADCAST_ROWS else wanted, "item")
     last = F.element_at("item_words", -1)["at"]
     near = met.select("doc", "item", "shift", "item_words", F.filter("words", lambda w: (w["pos"] >= lead["pos"]) & (w["pos"] <= F.col("shift") + last + slop)).alias("words"))
-    near = near.where(F.size("words") >= n)
-    hit = F.filter("item_words", lambda i: F.exists("words", lambda w: (w["term"] == i["term"]) & (F.abs(w["pos"] - F.col("shift") - i["at"]) <= slop)))
-    out = near.select("doc", "item", F.size(hit).cast("bigint").alias("n_words")).where(F.col("n_words") >= n).groupBy("doc", "item").agg(F.max("n_words").alias("n_words"))
+    near = near.where(F.size("words") >= n).select(
+        "doc", "item", F.transform("words", lambda w: w["pos"] - lead["pos"]).alias("pos"), F.transform("words", lambda w: w["term"]).alias("term"),
+        F.transform("item_words", lambda i: i["at"]).alias("at"), F.transform("item_words", lambda i: i["term"]).alias("wanted"),
+    )
+    counted = near.mapInPandas(lambda b: _count_near(b, n, slop), "doc long, item long, n_words long")
+    out = counted.groupBy("doc", "item").agg(F.max("n_words").alias("n_words"))
     return out.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "n_words")
