@@ -18,7 +18,7 @@ def test_query_equals_sql(spark, data, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_without_sql_runs(spark, data, name):
-    assert QUERIES[name](spark, data).columns
+    assert QUERIES[name](spark, data).limit(1).count() == 1
 
 
 def test_entry(spark):
