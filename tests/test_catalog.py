@@ -171,7 +171,7 @@ def test_walk_and_resolve(spark, rows):
         with pytest.raises(KeyError):
             trees.resolve_folder(n, bad)
     with pytest.raises(ValueError):
-        trees.walk(spark.createDataFrame([("a", "b", "n"), ("b", "a", "n")], n.schema), n.where("false").unionByName(spark.createDataFrame([("a", None, "n")], n.schema)), 5)
+        trees.walk(spark.createDataFrame([("a", "b", "n"), ("b", "a", "n")], n.schema), n.where("false").unionByName(spark.createDataFrame([("a", None, "n")], n.schema)))
 
 
 def test_query_parsing():
