@@ -1,28 +1,25 @@
 """Grouping records into similarity clusters.
 
-Gaussian mixtures, fitted by expectation-maximisation with covariances shrunk towards their pooled value on
-standardised, reduced features, say where a record's look lies; the number of components is the one of the
-lowest Bayesian information criterion. Records that share a probable component are compared exactly, links
-at the threshold are joined into clusters, and the members of highest mixture density describe each cluster.
+Records are linked exactly at the threshold and links are joined into clusters. A Gaussian mixture, fitted by
+expectation-maximisation with covariances shrunk towards their pooled value on standardised, reduced features, with the number
+of components of the lowest Bayesian information criterion, says how typical a record's look is: the
+members of highest density describe each cluster.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import product
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoebox.llm.blocks import SAMPLE_ROWS, STRIPE_ROWS, divide, exact_router, matrix, meet, routed, sample_rows_of, unit_vectors
-from shoebox.llm.components import connected_components, spanning_forest
-from shoebox.scratch import materialise
+from shoebox.llm.blocks import SAMPLE_ROWS, matrix, meet, sample_rows_of, unit_vectors  # noqa: F401
+from shoebox.llm.components import connected_components
+from shoebox.operators.alike import PIVOT_ROWS, alike_links
 
 COMPONENTS = (1, 2, 4, 8, 16, 32, 64, 128, 256)
-#: Rows to a component from which on each component is a mixture of its own.
-ROWS_PER_COMPONENT = 50_000
 
 
 class Mixture:
@@ -109,41 +106,6 @@ def fit_mixtures(sample: np.ndarray, mixtures: int, dims: int) -> list[Mixture]:
     return [Mixture(sample, best, dims, seed) for seed in range(mixtures)]
 
 
-def _own_mixture(sample: np.ndarray, rows: int, dims: int, rows_per_component: int) -> Mixture:
-    """The mixture of one component: of the size that the information criterion chooses, but of components small enough."""
-    least = min(max(1, rows // rows_per_component), max(1, len(sample) // 32), COMPONENTS[-1])
-    sizes = [k for k in COMPONENTS if k >= least and k * 32 <= len(sample)] or [least]
-    best = min((Mixture(sample, k, dims, 0, steps=6).bic(len(sample)), k) for k in sizes)[1]
-    return Mixture(sample, best, dims, 0)
-
-
-def _link_tile(home: pd.DataFrame, visiting: pd.DataFrame, threshold: float, dim: int) -> pd.DataFrame:
-    """A spanning forest of the tile's links: what is joined stays joined, pairs are not listed."""
-    if home.empty or visiting.empty:
-        return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
-    h, v = matrix(home["unit"], dim), matrix(visiting["unit"], dim)
-    hid, vid = home["id"].to_numpy(np.int64), visiting["id"].to_numpy(np.int64)
-    forests = []
-    for at, to in product(range(0, len(h), STRIPE_ROWS), range(0, len(v), STRIPE_ROWS)):
-        mine, other = h[at : at + STRIPE_ROWS], v[to : to + STRIPE_ROWS]
-        s = mine @ other.T
-        i, j = np.divmod(np.flatnonzero(s >= threshold - 1e-5), len(other))
-        close = np.flatnonzero(np.abs(s[i, j] - threshold) < 2e-5)
-        if len(close):
-            exact = np.einsum("ij,ij->i", mine[i[close]].astype(np.float64), other[j[close]].astype(np.float64))
-            keep = np.ones(len(i), bool)
-            keep[close[exact < threshold]] = False
-            i, j = i[keep], j[keep]
-        a, b = hid[at + i], vid[to + j]
-        apart = a != b
-        if apart.any():
-            forests.append(spanning_forest(a[apart], b[apart]))
-    if not forests:
-        return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
-    root, node = spanning_forest(*(np.concatenate(x) for x in zip(*forests)))
-    return pd.DataFrame({"a": root, "b": node})
-
-
 def _density(batches: Iterator[pd.DataFrame], model: Mixture, dim: int) -> Iterator[pd.DataFrame]:
     for batch in batches:
         d = model.log_density(matrix(batch["unit"], dim)).astype(np.float64)
@@ -152,43 +114,29 @@ def _density(batches: Iterator[pd.DataFrame], model: Mixture, dim: int) -> Itera
 
 
 def cluster_vectors(
-    rows: DataFrame, id_: str = "id", vec: str = "vec", dim: int = 128, threshold: float = 0.65, mixtures: int = 4, visits: int = 4, dims: int = 64, sample_rows: int = SAMPLE_ROWS, described: bool = False, exact: bool = False, rows_per_component: int = ROWS_PER_COMPONENT
+    rows: DataFrame, id_: str = "id", vec: str = "vec", dim: int = 128, threshold: float = 0.65, mixtures: int = 1, visits: int = 4, dims: int = 64, sample_rows: int = SAMPLE_ROWS, described: bool = False, exact: bool = True, rows_per_component: int = PIVOT_ROWS
 ) -> DataFrame:
     """(cluster_key, id[, density]) of every record in a cluster of at least two; cluster_key is its smallest id.
 
-    Two records are linked at cosine >= ``threshold``; clusters are everything linked directly or through others. The
-    mixtures are fitted on at most ``sample_rows`` vectors and every record is placed by all of them; a link is found
-    where one record's home is among the ``visits`` most probable components of the other in any mixture. The
-    densest sampled record of each component is a leader: records linked to it directly are one cluster by that
-    and need not meet each other, so a look that a third of all records share costs no more than others. Equal
-    vectors are compared once and joined in a star. Where a component would hold more than ``rows_per_component`` records (counted) it
-    is divided by a mixture of its own, fitted on as many of its records. With ``exact`` one mixture is used and every component visited that can hold
-    a link by the triangle inequality, so none is missed, at a cost that grows with the square of the records. Null, short, all-zero and non-finite vectors and null ids
-    are in no cluster; repeated ids are one record; an empty table gives no rows.
+    Two records are linked at cosine >= ``threshold``; clusters are everything linked directly or through others. All links
+    count, at any size (:func:`alike_links`): ``rows_per_component``, the records to a pivot, changes the cost only, and ``visits``
+    and ``exact``, of the time when a mixture proposed the pairs, change nothing. ``density`` comes from the first of ``mixtures`` mixtures,
+    fitted on at most ``sample_rows`` vectors. Null, short, all-zero and non-finite vectors and null ids
+    are in no cluster; repeated ids are one record, of the greater density; an empty table gives no rows.
     """
-    units = materialise(unit_vectors(rows, id_, vec, dim), "units")
-    same = units.groupBy("unit").agg(F.min("id").alias("id"), F.count("*").alias("n"))
-    reps = materialise(same, "reps")
-    copies = units.join(reps.where("n > 1").select("unit", F.col("id").alias("a")), "unit").select("a", F.col("id").alias("b"))
-    ids, sample = sample_rows_of(reps, dim, sample_rows)
-    if len(sample) == 0:
-        return rows.sparkSession.createDataFrame([], "cluster_key bigint, id bigint" + ", density double" * described)
-    models = fit_mixtures(sample, mixtures, dims)
-    lead = np.unique(models[0].log_density(sample).argmax(0))
-    leaders = [int(i) for i in ids[lead]]
-    divided = models
-    if reps.count() > models[0].k * rows_per_component:
-        fit = lambda x, n: _own_mixture(x, n, dims, rows_per_component)
-        divided = [divide(reps, m, dim, fit, rows_per_component, sample_rows) for m in models]
-    routers = [exact_router(reps, divided[0], dim, threshold)] if exact else [m.route(visits) for m in divided]
-    placed = materialise(routed(reps.select("id", "unit"), routers, dim, sample[lead], threshold), "placed")
-    links = meet(placed, lambda h, v: _link_tile(h, v, threshold, dim), "a long, b long")
-    led = placed.where("leader >= 0").select(F.array(*[F.lit(i) for i in leaders])[F.col("leader")].alias("a"), F.col("id").alias("b"))
-    out = connected_components(links.unionByName(led).unionByName(copies)).select(F.col("group_key").alias("cluster_key"), F.col("node").alias("id"))
+    links = alike_links(rows, threshold, dim, id_, vec, pivot_rows=rows_per_component)
+    out = connected_components(links).select(F.col("group_key").alias("cluster_key"), F.col("node").alias("id"))
     if not described:
         return out
-    dense = units.dropDuplicates(["id"]).mapInPandas(lambda b: _density(b, models[0], dim), "id long, density double")
-    return out.join(dense, "id")
+    units = unit_vectors(rows, id_, vec, dim)
+    # The sample is of the smallest hashes; no more than about twice as many rows are sorted for it.
+    share = min(1.0, 2 * sample_rows / max(1, rows.count()))
+    _, sample = sample_rows_of(units.where(F.xxhash64("id", F.lit(7)) <= int(-(2**63) + share * (2**64 - 2**12))), dim, sample_rows)
+    if len(sample) == 0:
+        return out.limit(0).withColumn("density", F.lit(0.0))
+    model = fit_mixtures(sample, mixtures, dims)[0]
+    dense = units.mapInPandas(lambda b: _density(b, model, dim), "id long, density double").groupBy("id").agg(F.max("density").alias("density"))
+    return out.join(dense, "id").select("cluster_key", "id", "density")
 
 
 def describe_clusters(members: DataFrame, typical: int = 3) -> DataFrame:

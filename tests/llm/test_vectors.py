@@ -152,3 +152,23 @@ def test_tiles_meet_every_pair_once_a_block(spark):
     got = [tuple(r) for r in meet(all_in_one, both, "a long, b long", tile_rows=8).collect()]
     assert len(got) == 2500 and len(set(got)) == 2500
     assert connected_components(spark.createDataFrame(got, "a long, b long")).count() == 50
+
+
+def test_clusters_store_and_send_the_vectors_a_few_times(spark):
+    """Every vector went to 20 blocks of the mixtures: more than 20 times its bytes in shuffle files."""
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from shoebox.scratch import shared_root
+
+    v = np.random.default_rng(4).normal(size=(20_000, 128)).astype(np.float32)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], VEC)
+
+    def disk():
+        blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        shuffled = sum(f.length() for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(blocks))
+        return shuffled + sum(p.stat().st_size for p in Path(urlparse(shared_root(spark)).path).rglob("*.parquet"))
+
+    before = disk()
+    assert cluster_vectors(df).count() == 0
+    assert disk() - before < 4 * v.nbytes
