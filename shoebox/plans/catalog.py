@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shoebox.config import DEFAULT, EngineConfig
 from shoebox.operators import changes, duplicates, frames, listing, reports, vectors
+from shoebox.operators.alike import alike_links
 from shoebox.operators.components import connected_components
 from shoebox.operators.search import search
 from shoebox.plans.tables import table
@@ -90,7 +91,7 @@ class Catalog:
         """Nameless faces matched to persons by centroid; those nameless before are clustered, matched ones among them too."""
         nameless = self.faces.where("person_id is null")
         matched = vectors.assign_to_centroids(nameless, vectors.centroids(self.faces, "person_id", dim=dim), "person_id", self.config.face_match, dim)
-        found = connected_components(vectors.similar_links(nameless, 1 - self.config.face_eps, dim))
+        found = connected_components(alike_links(nameless, 1 - self.config.face_eps, dim))
         out = self.faces.join(matched.select("id", F.col("person_id").alias("_person")), "id", "left").join(found.select(F.col("node").alias("id"), F.col("group_id").alias("_cluster")), "id", "left")
         new = {"cluster_id": F.when(F.col("person_id").isNull(), F.col("_cluster")).otherwise(F.col("cluster_id")), "person_id": F.coalesce("person_id", "_person")}
         return replace(self, faces=out.withColumns(new).select(*self.faces.columns))

@@ -11,6 +11,7 @@ from shoebox.functions import media, names
 from shoebox.functions.hashes import byte_chunk, checksum, hamming, phash64
 from shoebox.functions.vectors import comparable, cosine, softmax, top_labels
 from shoebox.operators import changes, duplicates, frames, listing, reports, trees, vectors
+from shoebox.operators.alike import alike_links
 from shoebox.operators.components import connected_components
 from shoebox.operators.hamming import hamming_join
 from shoebox.operators.search import search
@@ -347,7 +348,7 @@ SELECT group_id, id file_id, first(id) OVER (PARTITION BY group_id ORDER BY {KEE
 query("G4_dbscan", f"""
 WITH RECURSIVE v AS (SELECT id, {_UNIT} u FROM faces WHERE {FACES_OK}), e AS (SELECT a.id a, b.id b FROM v a JOIN v b ON a.id < b.id AND list_dot_product(a.u, b.u) >= 0.65), {_REACH}
 SELECT least(min(b), a) cluster, a id FROM reach GROUP BY a""")(
-    lambda t: connected_components(vectors.similar_links(t.faces, 0.65)).select(F.col("group_id").alias("cluster"), F.col("node").alias("id"))
+    lambda t: connected_components(alike_links(t.faces, 0.65, 128)).select(F.col("group_id").alias("cluster"), F.col("node").alias("id"))
 )
 query("R6_explanations")(lambda t: duplicates.explain_groups(duplicates.all_groups(t.files, t.video_frames), t.files))
 query("R16_inherit", f"""
