@@ -172,3 +172,19 @@ def test_clusters_store_and_send_the_vectors_a_few_times(spark):
     before = disk()
     assert cluster_vectors(df).count() == 0
     assert disk() - before < 4 * v.nbytes
+
+
+@pytest.mark.parametrize("rows_per_component", [20, 50_000])
+def test_no_link_is_missed_whatever_the_size_of_components(spark, rows_per_component):
+    """Chains of records joined just above the threshold or apart just below it; more records than components hold were divided, and lost links."""
+    rnd = np.random.default_rng(12)
+    steps = []
+    for _ in range(150):
+        a, b = np.linalg.qr(rnd.normal(size=(64, 2)))[0].T
+        turn = np.arccos(rnd.choice([0.64, 0.66], size=10))
+        steps.append(np.array([np.cos(t) * a + np.sin(t) * b for t in np.cumsum(turn)]))
+    v = np.concatenate(steps)[rnd.permutation(1500)].astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], VEC)
+    ids, u = unit_rows(df, 64)
+    got = sorted((r["cluster_key"], r["id"]) for r in cluster_vectors(df, dim=64, rows_per_component=rows_per_component).collect())
+    assert got == components(ids, u @ u.T, 0.65)
