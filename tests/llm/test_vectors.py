@@ -188,3 +188,32 @@ def test_no_link_is_missed_whatever_the_size_of_components(spark, rows_per_compo
     ids, u = unit_rows(df, 64)
     got = sorted((r["cluster_key"], r["id"]) for r in cluster_vectors(df, dim=64, rows_per_component=rows_per_component).collect())
     assert got == components(ids, u @ u.T, 0.65)
+
+
+def test_densities_come_from_all_vectors_whatever_the_size(spark):
+    """A sample beyond 20 000 rows was taken by the number of all rows, so rows without a vector thinned it out, or left nothing to describe clusters by."""
+    rnd = np.random.default_rng(8)
+    v = np.concatenate([rnd.normal(size=16) + rnd.normal(scale=0.3, size=(n, 16)) for n in (9, 14, 30, 40, 60)] + [rnd.normal(size=(200, 16))])
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], VEC)
+    ask = lambda d, **how: sorted(tuple(r) for r in cluster_vectors(d, dim=16, dims=8, described=True, **how).collect())
+    want = ask(df)
+    assert [w[:2] for w in want] == sorted((r["cluster_key"], r["id"]) for r in cluster_vectors(df, dim=16).collect())
+    assert ask(df.repartition(7), sample_rows=40) == want
+    empty = spark.range(1000, 2_000_000, numPartitions=8).selectExpr("id", "cast(null as array<float>) vec")
+    assert ask(df.unionByName(empty)) == want
+
+
+def test_a_mixture_is_fitted_alike_on_tasks_of_any_cut(spark, monkeypatch):
+    """Chunks of fewer rows than a batch, and steps over all rows as likely as those of one task."""
+    import shoebox.llm.clusters as c
+
+    rnd = np.random.default_rng(5)
+    centres = rnd.normal(scale=3, size=(8, 12))
+    v = (centres[rnd.integers(0, 8, 3000)] + rnd.normal(size=(3000, 12))).astype(np.float32)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], VEC)
+    monkeypatch.setattr(c, "CHUNK_ROWS", 500)
+    (a, stored), (b, _) = (c.fit_to_all(c.unit_vectors(d, "id", "vec", 12), 12, 6) for d in (df, df.repartition(5)))
+    assert stored.select("chunk").distinct().count() == 6 and stored.count() == 3000
+    assert a.k == b.k and np.array_equal(a.mu, b.mu) and np.array_equal(a.var, b.var)
+    whole = Mixture(v / np.linalg.norm(v, axis=1, keepdims=True), a.k, 6, 0)
+    assert a.k in (4, 8, 16) and abs(a.log_likelihood - whole.log_likelihood) < 0.1 * abs(whole.log_likelihood)
